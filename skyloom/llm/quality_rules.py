@@ -21,7 +21,10 @@ from skyloom.llm.scratch import materialize
 WINDOW = 8
 RULES = ("length", "symbols", "dup_lines", "repeats", "capitals", "exclaims", "word_size")
 #: EM: iterations, first guesses, and pseudo-counts that hold a rule to its guess where votes are few.
-ITERATIONS, PRIOR_BAD, BAD_ON_BAD, BAD_ON_GOOD, PSEUDO = 25, 0.1, 0.35, 0.01, 20.0
+ITERATIONS, PRIOR_BAD, BAD_ON_BAD, BAD_ON_GOOD, PSEUDO = 25, 0.1, 0.35, 0.001, 20.0
+#: A rule is written to be almost silent on good texts: its rate there is estimated up to this bound. Without it, votes that no other rule
+#: shares would be explained as noise of the good class, however many they are.
+MOST_BAD_ON_GOOD = 0.002
 KEEP_AT = 0.5
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -112,8 +115,8 @@ def em_parameters(voted: DataFrame, column: str) -> DataFrame:
         "case when v = -1 then p.n * (1 - r) else 0D end, case when v != 0 then p.n * (1 - r) else 0D end)))), (x, y) -> x + y))[0]"
     )
     sums = f"aggregate(ps, array_repeat(0D, {2 + 4 * j}), {add})"
-    rate = lambda at, guess: f"transform(sequence(0, {j - 1}), j -> least(0.9999D, greatest(0.0001D, (c[2 + 4 * j + {at}] + {PSEUDO * guess}D) / (c[3 + 4 * j + {at}] + {PSEUDO}D))))"
-    step = f"(s, i) -> transform(array({sums}), c -> concat(array(least(0.9D, (c[0] + {PSEUDO * PRIOR_BAD}D) / (c[1] + {PSEUDO}D))), {rate(0, BAD_ON_BAD)}, {rate(2, BAD_ON_GOOD)}))[0]"
+    rate = lambda at, guess, most=0.9999: f"transform(sequence(0, {j - 1}), j -> least({most}D, greatest(0.0001D, (c[2 + 4 * j + {at}] + {PSEUDO * guess}D) / (c[3 + 4 * j + {at}] + {PSEUDO}D))))"
+    step = f"(s, i) -> transform(array({sums}), c -> concat(array(least(0.9D, (c[0] + {PSEUDO * PRIOR_BAD}D) / (c[1] + {PSEUDO}D))), {rate(0, BAD_ON_BAD)}, {rate(2, BAD_ON_GOOD, MOST_BAD_ON_GOOD)}))[0]"
     return row.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), {first}, {step})").alias("state"))
 
 
@@ -145,12 +148,12 @@ def _sql() -> str:
     j = range(len(RULES))
     case = "\n, ".join("case when {b} then -1 when {g} then 1 else 0 end as v{i}".format(i=i, b=VOTES[r][0].format(f="c"), g=VOTES[r][1].format(f="c")) for i, r in enumerate(RULES))
     odds = lambda s: f"ln({s}.pi / (1 - {s}.pi))" + "".join(f" + case p.v{i} when -1 then ln({s}.a{i} / {s}.b{i}) when 1 then ln((1 - {s}.a{i}) / (1 - {s}.b{i})) else 0 end" for i in j)
-    rate = lambda i, w, guess: f"least(0.9999, greatest(0.0001, (sum(case when v{i} = -1 then n * {w} else 0 end) + {PSEUDO * guess}::double) / (sum(case when v{i} != 0 then n * {w} else 0 end) + {PSEUDO}::double)))"
+    rate = lambda i, w, guess, most=0.9999: f"least({most}, greatest(0.0001, (sum(case when v{i} = -1 then n * {w} else 0 end) + {PSEUDO * guess}::double) / (sum(case when v{i} != 0 then n * {w} else 0 end) + {PSEUDO}::double)))"
     steps = [f"s0 as materialized (select {PRIOR_BAD}::double as pi, " + ", ".join(f"{BAD_ON_BAD}::double as a{i}, {BAD_ON_GOOD}::double as b{i}" for i in j) + ")"]
     for k in range(ITERATIONS):
         steps.append(
             f"s{k + 1} as materialized (select least(0.9, (coalesce(sum(n * r), 0) + {PSEUDO * PRIOR_BAD}::double) / (coalesce(sum(n), 0) + {PSEUDO}::double)) as pi, "
-            + ", ".join(f"{rate(i, 'r', BAD_ON_BAD)} as a{i}, {rate(i, '(1 - r)', BAD_ON_GOOD)} as b{i}" for i in j)
+            + ", ".join(f"{rate(i, 'r', BAD_ON_BAD)} as a{i}, {rate(i, '(1 - r)', BAD_ON_GOOD, MOST_BAD_ON_GOOD)} as b{i}" for i in j)
             + f" from (select p.*, 1 / (1 + exp(-({odds('s')}))) as r from pattern p, s{k} s))"
         )
     words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"

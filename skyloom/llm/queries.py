@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from skyloom.llm import benchmark_leaks, byte_bpe, lm_score, near_dup, quality_rules
+from skyloom.llm import benchmark_leaks, byte_bpe, language_id, lm_score, near_dup, quality_classifier, quality_rules
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
     "op2_lm_score": lm_score.query,
     "op3_near_dup": near_dup.query,
+    "op4_language_id": language_id.query,
+    "op5_quality_classifier": quality_classifier.query,
     "op7_quality_rules": quality_rules.query,
     "op8_byte_bpe": byte_bpe.query,
 }

@@ -120,7 +120,7 @@ class Words:
 
 def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[i]:first[i + 1]], exact for integers; an empty segment has 0."""
-    out = np.zeros(len(first) - 1, values.dtype)
+    out = np.zeros((len(first) - 1, *values.shape[1:]), values.dtype)
     full = np.flatnonzero(np.diff(first) > 0)
     if len(full):
         out[full] = np.add.reduceat(values[: first[-1]], first[:-1][full])
