@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skyloom.llm import benchmark_leaks, byte_bpe, language_id, lm_score, near_dup, quality_classifier, quality_rules
+from skyloom.llm import benchmark_leaks, byte_bpe, language_id, license_scan, lm_score, near_dup, quality_classifier, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_benchmark_leaks": benchmark_leaks.query,
@@ -10,8 +10,11 @@ QUERIES = {
     "op3_near_dup": near_dup.query,
     "op4_language_id": language_id.query,
     "op5_quality_classifier": quality_classifier.query,
+    "op6_license_scan": license_scan.query,
     "op7_quality_rules": quality_rules.query,
     "op8_byte_bpe": byte_bpe.query,
+    "op9_warc": warc.query,
+    "op10_sharding": sharding.query,
 }
 SQL = {
     "op1_benchmark_leaks": benchmark_leaks.SQL,
