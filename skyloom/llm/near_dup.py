@@ -9,8 +9,8 @@ a partner costs 2 * SIDE rows and no table key.
 Equal sets are one class from the start (min and max of a group's fingerprints tell whether it holds two). Links between classes:
 1. Rounds of representatives: in each table bucket every class is compared with two representatives, in an order that each round draws anew,
    unless both are in one component already. Rows grow with the bucket's size, never with its square.
-2. Whatever is still in two components within a bucket goes through an exact prefix filter: rarest shingles first, partners must share one of
-   the first n - ceil(0.85 n) + 1; only pairs across components come out, so a component's own pairs don't.
+2. Whatever is still in two components within a bucket goes through an exact prefix and position filter, rarest shingles first; only pairs
+   across components come out, so a component's own pairs don't.
 Every pair is confirmed by its intersection. Both steps end with connected components, written to the shared folder.
 
 Defined cases: a null, empty or wordless text has an empty set and is its own component; fewer than five words are one shingle; equal rows
@@ -167,16 +167,28 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with different labels that can be similar enough, by the prefix filter; members: (print, label)."""
+    """Pairs (a, b) with different labels that can be similar enough; members: (print, label).
+
+    Shingles are ordered by how few sets hold them. The first one that a similar pair shares leaves enough room in both sets for the overlap
+    that the pair needs, so a set need only be known under its first shingles: fewer for the smaller of a pair than for the larger one.
+    """
     own = sets.join(members, "print").select("print", "label", "n", F.explode("s").alias("h"))
     often = own.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     first = own.join(often, "h").groupBy("print", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    rare = first.select("print", "label", F.explode(F.expr(f"slice(hs, 1, int(n - ({PERCENT} * n + 99) div 100 + 1))")).alias("x")).select("print", "label", F.col("x.h").alias("h"))
-    rare = materialize(rare, "prefix")
+    rare = first.select("print", "label", "n", F.posexplode(F.expr(f"slice(hs, 1, int(n - ({PERCENT} * n + 99) div 100 + 1))")).alias("at", "x"))
+    rare = materialize(rare.select("print", "label", "n", "at", F.col("x.h").alias("h")), "prefix")
     heads = rare.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    minor = rare.join(heads.select("h", F.col("m.label").alias("major")), "h").filter("label != major").select("h", F.col("print").alias("a"), F.col("label").alias("la"), "major")
-    met = minor.join(rare.select("h", F.col("print").alias("b"), "label"), "h").filter("la != label and (label = major or a < b)")
-    return _bounded(met)
+    held = rare.join(heads.select("h", F.col("m.label").alias("major")), "h")
+    two = 100 + PERCENT  # a pair of sizes x and y needs an overlap of PERCENT * (x + y) / (100 + PERCENT)
+    need = f"({PERCENT} * (x.n + y.n) + {two - 1}) div {two}"
+    fit = f"x.label != y.label and 100 * x.n >= {PERCENT} * y.n and (x.n < y.n or (x.n = y.n and x.print < y.print)) and x.at + {need} <= x.n and y.at + {need} <= y.n"
+    small = held.filter(f"at + ({2 * PERCENT} * n + {two - 1}) div {two} <= n")
+    # pairs of two texts of a shingle's most frequent component don't occur: one side is of another one
+    met = [
+        left.alias("x").join(right.alias("y"), F.expr(f"x.h = y.h and {fit}")).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
+        for left, right in ((small.filter("label != major"), held), (small.filter("label = major"), held.filter("label != major")))
+    ]
+    return _bounded(met[0].union(met[1]))
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
