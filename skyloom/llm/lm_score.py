@@ -36,7 +36,9 @@ from skyloom.shipping import ship
 HEAD = 1 << 18
 FILTER_BYTES, BITS, HASHES = 32 << 20, 8, 4
 LEVELS = 48
-FLUSH_TOKENS = 6 << 20
+FLUSH_TOKENS = 3 << 20
+#: Bytes of text in a slice; a token takes some 150 bytes of arrays.
+SLICE = 2 << 20
 FIT_DOCS, WEIGHT = 4096, 0.4
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
@@ -110,7 +112,7 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array([n + 1] * len(ps), pa.int32()), pa.array(ps, pa.int32()), pa.array([pack(h[cut[p] : cut[p + 1]], c[cut[p] : cut[p + 1]]) for p in ps], pa.binary())], names=["n", "part", "block"])
 
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 seq, before, first = tokens(batch.column(0))
                 before[first[:-1]] = END
                 held[0].append(seq)
@@ -126,16 +128,19 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
             if at is None:
                 return
             both = [unpack(b) for b in blocks]
-            h, c = summed(np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both]))
+            blocks.clear()
+            h, c = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
+            both.clear()
+            h, c = summed(h, c)
             levels = np.bincount(np.log2(c.astype(float)).astype(int), minlength=LEVELS)
             yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([len(h)]), pa.array([int(c.sum())]), pa.array([levels.tolist()], pa.list_(pa.int64())), pa.array([pack(h, c)], pa.binary())], names=["n", "part", "words", "tokens", "levels", "block"])
 
         for batch in batches:
-            for n, p, b in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for n, p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if (n, p) != at:
                     yield from close()
                     at, blocks = (n, p), []
-                blocks.append(b)
+                blocks.append(b.as_py())
         yield from close()
 
     sent = train.mapInArrow(count, "n int, part int, block binary").repartition(parts, "n", "part").sortWithinPartitions("n", "part")
@@ -235,8 +240,8 @@ def _filter(merged: DataFrame, parts: int) -> Filter:
         own.parts, own.bits, own.cutoff = shape
         own.stride = (own.bits + 7) // 8
         for batch in batches:
-            out = [own.segment(*unpack(b)).tobytes() for b in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["part", "bits"])
+            for i, b in enumerate(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.segment(*unpack(b.as_py())).tobytes()], pa.binary())], names=["part", "bits"])
 
     for r in merged.select("part", "block").mapInArrow(build, "part int, bits binary").toLocalIterator():
         at = r.part * grams.stride
@@ -249,8 +254,8 @@ def _rows(merged: DataFrame, lo: int, hi: int | None) -> DataFrame:
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in batch.column(0).to_pylist():
-                h, c = unpack(b)
+            for b in batch.column(0):
+                h, c = unpack(b.as_py())
                 own = (c >= lo) if hi is None else (c >= lo) & (c < hi)
                 yield pa.RecordBatch.from_arrays([pa.array(h[own].view(np.int64)), pa.array(c[own].astype(np.int64))], names=["h", "c"])
 
@@ -286,7 +291,7 @@ def _fit(model: Model, train: DataFrame, spark: SparkSession) -> None:
         seen, kept = np.zeros(LEVELS), np.zeros(LEVELS)
         own: Model = sent.value
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 _, context, both = own.counts(*tokens(batch.column(0)))
                 level = own.level(context)
                 seen += np.bincount(level, context > 0, LEVELS)
@@ -314,7 +319,7 @@ def scored(docs: DataFrame, held_out: str = "_held", text: str = "_text", carry:
         own: Model = sent.value
         head, count = own.head
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 seq, before, first = tokens(batch.column(k + 1))
                 n = batch.num_rows
                 at = np.minimum(np.searchsorted(head, seq), max(0, len(head) - 1))
