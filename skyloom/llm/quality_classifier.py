@@ -25,7 +25,9 @@ from skyloom.llm.textops import Words, raw, segment_sum, slices
 from skyloom.shipping import ship
 
 LABELLERS = ("short", "symbols", "exclaims", "capitals", "same_word_again", "few_distinct", "odd_words", "same_line_again")
-SAMPLE, KEEP_AT, ITERATIONS = 3000, 0.5, 40
+SAMPLE, KEEP_AT, ITERATIONS = 3000, 0.3, 40
+#: The n-gram shares of a text of this many bytes weigh half as much as those of a long one, since they are noisy in short texts.
+HALF = 200
 PRIOR_BAD, BAD_ON_BAD, BAD_ON_GOOD, PSEUDO = 0.1, 0.35, 0.001, 20.0
 #: A labeller's rate of bad votes on good texts is estimated up to this bound, else EM explains votes that no other shares as noise.
 MOST_BAD_ON_GOOD = 0.002
@@ -64,7 +66,8 @@ def measures(column: pa.Array) -> np.ndarray:
         out[i, 5] = 1 - len(np.unique(pairs)) / len(pairs) if len(pairs) else 0
         if cut[i + 1] > cut[i]:
             ls = [x for x in blob[offsets[i] : offsets[i + 1]].split(b"\n") if x.strip()]
-            out[i, 7] = 1 - len(set(ls)) / len(ls) if ls else 0
+            again_ = len(ls) - len(set(ls))
+            out[i, 7] = again_ / len(ls) if again_ >= 3 else 0
     return out
 
 
@@ -122,9 +125,14 @@ def buckets(m: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(1 + m * scale).astype(int), BUCKETS - 1) + np.arange(m.shape[1]) * BUCKETS
 
 
+def _trust(column: pa.Array) -> np.ndarray:
+    size = np.diff(raw(column)[1])
+    return size / (size + HALF)
+
+
 def _inputs(column: pa.Array, m: np.ndarray) -> np.ndarray:
     x = np.zeros((len(column), DIMENSIONS + len(LABELLERS) * BUCKETS), np.float32)
-    x[:, :DIMENSIONS] = vectors(column, lower=False)
+    x[:, :DIMENSIONS] = vectors(column, lower=False) * _trust(column)[:, None].astype(np.float32)
     np.put_along_axis(x, DIMENSIONS + buckets(m), 1.0, 1)
     return x
 
@@ -134,7 +142,7 @@ class Scorer:
         self.grams, self.table, self.bias = weights[:DIMENSIONS, None].astype(np.float32), weights[DIMENSIONS:], bias
 
     def score(self, column: pa.Array, m: np.ndarray) -> np.ndarray:
-        s = scores(column, self.grams, lower=False)[:, 0] + self.table[buckets(m)].sum(1) + self.bias
+        s = scores(column, self.grams, lower=False)[:, 0] * _trust(column) + self.table[buckets(m)].sum(1) + self.bias
         return 1 / (1 + np.exp(np.clip(-s, -50, 50)))
 
 

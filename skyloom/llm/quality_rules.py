@@ -1,9 +1,9 @@
 """Operator 7, quality rules by weak supervision, in DataFrame and SQL functions alone.
 
-Seven rules look at counts of one text; each votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates for each rule
+Eight rules look at counts of one text; each votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates for each rule
 how often it votes bad on bad and on good texts, and the posterior probability of a good text decides, in place of "every rule must pass".
 
-One pass computes the counts and writes them (a few numbers a row); the vote patterns, at most 3**7 of them, are counted by a shuffle of
+One pass computes the counts and writes them (a few numbers a row); the vote patterns, at most 3**8 of them, are counted by a shuffle of
 partial counts; the EM iterations run inside one SQL expression over that single row. Nothing is collected to the driver.
 
 Defined cases: a null or empty text has no words and fails the base rule; equal rows get equal results; an empty table gives an empty result;
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from skyloom.llm.scratch import materialize
 
 WINDOW = 8
-RULES = ("length", "symbols", "dup_lines", "repeats", "capitals", "exclaims", "word_size")
+RULES = ("length", "symbols", "dup_lines", "repeats", "adjacent", "capitals", "exclaims", "word_size")
 #: EM: iterations, first guesses, and pseudo-counts that hold a rule to its guess where votes are few.
 ITERATIONS, PRIOR_BAD, BAD_ON_BAD, BAD_ON_GOOD, PSEUDO = 25, 0.1, 0.35, 0.001, 20.0
 #: A rule is written to be almost silent on good texts: its rate there is estimated up to this bound. Without it, votes that no other rule
@@ -28,8 +28,6 @@ MOST_BAD_ON_GOOD = 0.002
 KEEP_AT = 0.5
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-FEATURES = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_capitals long, n_exclaims long"
-
 
 def _halves(a: Column, step: int) -> Column:
     """Hashes of runs twice as long from hashes of runs of ``step`` words."""
@@ -67,6 +65,7 @@ def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> Data
             F.size(p + "l").cast("long").alias("n_lines"),
             (F.size(p + "l") - F.size(F.array_distinct(p + "l"))).cast("long").alias("n_dup_lines"),
             F.coalesce(F.expr(repeats), F.lit(0)).cast("long").alias("n_repeat_words"),
+            F.expr(f"case when size({p}w) > 1 then size(filter({p}w, (w, i) -> w = {p}w[greatest(i - 1, 0)])) - 1 else 0 end").cast("long").alias("n_adjacent"),
             without(_CAPITALS).cast("long").alias("n_capitals"),
             without("!").cast("long").alias("n_exclaims"),
         ),
@@ -78,8 +77,9 @@ def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> Data
 VOTES = {
     "length": ("{f}.n_words < 20", "{f}.n_words >= 40"),
     "symbols": ("10 * {f}.n_symbols > {f}.n_words", "50 * {f}.n_symbols <= {f}.n_words"),
-    "dup_lines": ("{f}.n_lines >= 3 and 10 * {f}.n_dup_lines > 3 * {f}.n_lines", "{f}.n_lines >= 2 and 20 * {f}.n_dup_lines <= {f}.n_lines"),
+    "dup_lines": ("{f}.n_dup_lines >= 3 and 10 * {f}.n_dup_lines > 3 * {f}.n_lines", "{f}.n_lines >= 2 and 20 * {f}.n_dup_lines <= {f}.n_lines"),
     "repeats": ("100 * {f}.n_repeat_words > 30 * {f}.n_words", "100 * {f}.n_repeat_words <= 10 * {f}.n_words"),
+    "adjacent": ("5 * {f}.n_adjacent > {f}.n_words", "20 * {f}.n_adjacent <= {f}.n_words"),
     "capitals": ("100 * {f}.n_capitals > 40 * {f}.word_chars", "100 * {f}.n_capitals <= 20 * {f}.word_chars"),
     "exclaims": ("4 * {f}.n_exclaims > {f}.n_words", "50 * {f}.n_exclaims <= {f}.n_words"),
     "word_size": ("{f}.word_chars > 25 * {f}.n_words or {f}.word_chars < 2 * {f}.n_words", "{f}.word_chars <= 12 * {f}.n_words and {f}.word_chars >= 3 * {f}.n_words"),
@@ -165,7 +165,7 @@ twice as (select rid, i from (select rid, i, count(*) over (partition by rid, s)
 rep as (select rid, count(*) as n from (select distinct rid, unnest(range(i, i + 8)) as k from twice) group by rid),
 c as materialized (select d.rid, doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
-    coalesce(rep.n, 0) as n_repeat_words, length(t) - length(translate(t, '{_CAPITALS}', '')) as n_capitals,
+    coalesce(rep.n, 0) as n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_adjacent, length(t) - length(translate(t, '{_CAPITALS}', '')) as n_capitals,
     length(t) - length(translate(t, '!', '')) as n_exclaims from d left join rep using (rid)),
 voted as materialized (select *, {case} from c),
 pattern as materialized (select {", ".join(f"v{i}" for i in j)}, count(*)::double as n from voted group by all),
