@@ -108,12 +108,12 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
 
 
 def table_keys(signed: DataFrame) -> DataFrame:
-    """(key, print) of the tables, for classes that share an element on both sides with another class."""
-    sides = signed.filter("print is not null").select("print", F.posexplode("elements").alias("e", "v"))
+    """(key, print, n) of the tables, n being the set's size, for classes that share an element on both sides with another class."""
+    sides = signed.filter("print is not null").select("print", F.col("n_shingles").alias("n"), F.posexplode("elements").alias("e", "v"))
     shared = sides.groupBy("e", "v").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).filter("lo != hi").select("e", "v")
-    own = sides.join(shared, ["e", "v"]).groupBy("print").agg(F.collect_set(F.struct("e", "v")).alias("s"))
+    own = sides.join(shared, ["e", "v"]).groupBy("print").agg(F.max("n").alias("n"), F.collect_set(F.struct("e", "v")).alias("s"))
     a, b = (f"filter(s, x -> x.e {op} {SIDE})" for op in ("<", ">="))
-    return own.select("print", F.expr(f"explode(flatten(transform({a}, x -> transform({b}, y -> xxhash64(x.e, y.e, x.v, y.v)))))").alias("key"))
+    return own.select("print", "n", F.expr(f"explode(flatten(transform({a}, x -> transform({b}, y -> xxhash64(x.e, y.e, x.v, y.v)))))").alias("key"))
 
 
 def _bounded(pairs: DataFrame) -> DataFrame:
@@ -121,10 +121,12 @@ def _bounded(pairs: DataFrame) -> DataFrame:
 
 
 def representatives(keys: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member (key, print, label) with its bucket's first and last one, in the order of this turn, across labels only."""
-    me = F.struct(F.xxhash64("print", F.lit(turn)).alias("o"), "print", "label")
+    """Pairs of each member (key, print, n, label) with its bucket's first and last one, in the order of this turn, across labels and only if
+    their sizes allow the similarity."""
+    me = F.struct(F.xxhash64("print", F.lit(turn)).alias("o"), "print", "label", "n")
     ends = keys.groupBy("key").agg(F.min(me).alias("lo"), F.max(me).alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key", F.array("lo", "hi").alias("ends"))
-    met = keys.join(ends, "key").select("print", "label", F.explode(F.filter("ends", lambda x: x["label"] != F.col("label"))).alias("x"))
+    sized = lambda x: 100 * F.least(x["n"], F.col("n")) >= PERCENT * F.greatest(x["n"], F.col("n"))
+    met = keys.join(ends, "key").select("print", F.explode(F.filter("ends", lambda x: (x["label"] != F.col("label")) & sized(x))).alias("x"))
     return _bounded(met.select(F.col("print").alias("a"), F.col("x.print").alias("b")))
 
 
@@ -151,19 +153,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough, by their full sets."""
     one = sets.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     two = sets.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
-    size = sets.select("print", "n")
-    near = (
-        pairs.join(size.select(F.col("print").alias("a"), F.col("n").alias("ma")), "a").join(size.select(F.col("print").alias("b"), F.col("n").alias("mb")), "b")
-        .filter(f"100 * least(ma, mb) >= {PERCENT} * greatest(ma, mb)").select("a", "b")
-    )
-    both = near.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
     return both.filter(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct()
 
 
 def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     if labels is None:
-        return keys.select("key", "print", F.col("print").alias("label"))
-    return keys.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", F.coalesce("label", "print").alias("label"))
+        return keys.select("key", "print", "n", F.col("print").alias("label"))
+    return keys.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", "n", F.coalesce("label", "print").alias("label"))
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
