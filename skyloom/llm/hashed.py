@@ -14,17 +14,19 @@ from skyloom.llm.textops import Words, raw, segment_sum
 SIZES = (256, 4096, 8192)
 STARTS = (0, 256, 256 + 4096)
 DIMENSIONS = sum(SIZES)
+#: Entries of the tables of 1- and 2-grams alone.
+SHORT = SIZES[0] + SIZES[1]
 _LOW = np.arange(256, dtype=np.uint32)
 _LOW[65:91] += 32
 _RAW = np.arange(256, dtype=np.uint32)
 
 
-def ngrams(column: pa.Array, lower: bool = True):
-    """For each order the table entries of all positions and where each text's begin."""
+def ngrams(column: pa.Array, lower: bool = True, longest: int = 3):
+    """For each order up to ``longest`` the table entries of all positions and where each text's begin."""
     data, offsets = raw(column)
     b = (_LOW if lower else _RAW)[data]
     length = np.diff(offsets)
-    for order in (1, 2, 3):
+    for order in range(1, longest + 1):
         count = np.maximum(length - order + 1, 0)
         first = np.concatenate([[0], np.cumsum(count)])
         if len(b) < order:
@@ -44,22 +46,23 @@ def ngrams(column: pa.Array, lower: bool = True):
 
 
 def scores(column: pa.Array, weights: np.ndarray, lower: bool = True) -> np.ndarray:
-    """texts x models; weights: DIMENSIONS x models."""
+    """texts x models; weights: DIMENSIONS (or SHORT) x models."""
+    longest = 2 if len(weights) == SHORT else 3
     out = np.zeros((len(column), weights.shape[1]))
-    for at, first in ngrams(column, lower):
+    for at, first in ngrams(column, lower, longest):
         count = np.maximum(np.diff(first), 1)[:, None]
         for lo in range(0, weights.shape[1], 4):
             out[:, lo : lo + 4] += segment_sum(weights[:, lo : lo + 4][at].astype(np.float64), first) / count
     return out
 
 
-def vectors(column: pa.Array, lower: bool = True) -> np.ndarray:
-    """texts x DIMENSIONS, for samples."""
+def vectors(column: pa.Array, lower: bool = True, size: int = DIMENSIONS) -> np.ndarray:
+    """texts x DIMENSIONS (or SHORT), for a few dozen texts of a sample at a time."""
     n = len(column)
-    out = np.zeros((n, DIMENSIONS), np.float32)
-    for at, first in ngrams(column, lower):
+    out = np.zeros((n, size), np.float32)
+    for at, first in ngrams(column, lower, 2 if size == SHORT else 3):
         doc = np.repeat(np.arange(n), np.diff(first))
-        out += (np.bincount(doc * DIMENSIONS + at, minlength=n * DIMENSIONS).reshape(n, DIMENSIONS) / np.maximum(np.diff(first), 1)[:, None]).astype(np.float32)
+        out += (np.bincount(doc * size + at, minlength=n * size).reshape(n, size) / np.maximum(np.diff(first), 1)[:, None]).astype(np.float32)
     return out
 
 
@@ -78,12 +81,13 @@ def dense(blob: bytes, size: int) -> np.ndarray:
 def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model by accelerated gradient steps.
 
-    loss "svm": squared hinge, y in -1 and 1; "logistic": y is the probability of 1. Features are scaled by their deviation, and the scale is
+    ``x`` is changed. loss "svm": squared hinge, y in -1 and 1; "logistic": y is the probability of 1. Features are scaled by their deviation, and the scale is
     part of the result's weights.
     """
-    scale = 1.0 / (x.std(0) + 1e-4)
-    mean = x.mean(0)
-    x = (x - mean) * scale
+    mean = x.mean(0, dtype=np.float64)
+    scale = 1.0 / (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean**2, 0.0)) + 1e-4)
+    x -= mean.astype(np.float32)  # in place: one copy of the sample is in memory
+    x *= scale.astype(np.float32)
     p = weight / weight.sum()
     v = np.random.default_rng(1).normal(size=x.shape[1]).astype(np.float32)
     for _ in range(12):
@@ -103,4 +107,4 @@ def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge: f
     return w0 * scale, b0 - float((w0 * scale) @ mean)
 
 
-__all__ = ["DIMENSIONS", "Words", "dense", "fitted", "ngrams", "scores", "sparse", "vectors"]
+__all__ = ["DIMENSIONS", "SHORT", "Words", "dense", "fitted", "ngrams", "scores", "sparse", "vectors"]

@@ -24,7 +24,7 @@ from skyloom.llm.hashed import DIMENSIONS, dense, fitted, scores, sparse, vector
 from skyloom.llm.textops import slices
 from skyloom.shipping import ship
 
-SAMPLE, MOST_LANGUAGES = 500, 100
+SAMPLE, MOST_LANGUAGES, AT_ONCE = 400, 100, 32
 _BY_FAMILY = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -115,15 +115,20 @@ def train(labelled: DataFrame) -> LanguageModel:
     share = F.lit(0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE / n) * (1 << 30))).otherwise(share)
-    part = rows.filter(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) < share).select("text", "lang")
+    some = rows.filter(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) < share).select("text", "lang")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 1 << 18):
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([sparse(x) for x in vectors(batch.column(0))], pa.binary())], names=["lang", "x"])
-
-    got = part.mapInArrow(look, "lang string, x binary").limit(2 * SAMPLE * len(counts)).collect()  # bounded by the sample
-    return LanguageModel(np.stack([dense(bytes(r.x), DIMENSIONS) for r in got]), [r.lang for r in got])
+                for lo in range(0, batch.num_rows, AT_ONCE):
+                    part = batch.slice(lo, AT_ONCE)
+                    yield pa.RecordBatch.from_arrays([part.column(1), pa.array([sparse(x) for x in vectors(part.column(0))], pa.binary())], names=["lang", "x"])
+
+    got = some.mapInArrow(look, "lang string, x binary").limit(2 * SAMPLE * len(counts)).collect()  # bounded by the sample
+    x = np.empty((len(got), DIMENSIONS), np.float32)
+    for i, r in enumerate(got):
+        x[i] = dense(bytes(r.x), DIMENSIONS)
+    return LanguageModel(x, [r.lang for r in got])
 
 
 def identified(docs: DataFrame, model: LanguageModel, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.hashed import DIMENSIONS, dense, fitted, scores, sparse, vectors
+from skyloom.llm.hashed import SHORT, dense, fitted, scores, sparse, vectors
 from skyloom.llm.textops import Words, raw, segment_sum, slices
 from skyloom.shipping import ship
 
@@ -131,15 +131,15 @@ def _trust(column: pa.Array) -> np.ndarray:
 
 
 def _inputs(column: pa.Array, m: np.ndarray) -> np.ndarray:
-    x = np.zeros((len(column), DIMENSIONS + len(LABELLERS) * BUCKETS), np.float32)
-    x[:, :DIMENSIONS] = vectors(column, lower=False) * _trust(column)[:, None].astype(np.float32)
-    np.put_along_axis(x, DIMENSIONS + buckets(m), 1.0, 1)
+    x = np.zeros((len(column), SHORT + len(LABELLERS) * BUCKETS), np.float32)
+    x[:, :SHORT] = vectors(column, False, SHORT) * _trust(column)[:, None].astype(np.float32)
+    np.put_along_axis(x, SHORT + buckets(m), 1.0, 1)
     return x
 
 
 class Scorer:
     def __init__(self, weights: np.ndarray, bias: float):
-        self.grams, self.table, self.bias = weights[:DIMENSIONS, None].astype(np.float32), weights[DIMENSIONS:], bias
+        self.grams, self.table, self.bias = weights[:SHORT, None].astype(np.float32), weights[SHORT:], bias
 
     def score(self, column: pa.Array, m: np.ndarray) -> np.ndarray:
         s = scores(column, self.grams, lower=False)[:, 0] * _trust(column) + self.table[buckets(m)].sum(1) + self.bias
@@ -184,11 +184,13 @@ def learned(docs: DataFrame, text: str = "text") -> tuple[Labels, Scorer]:
                     yield pa.RecordBatch.from_arrays([pa.array(pattern(v[at])), pa.array([sparse(r) for r in x], pa.binary())], names=["p", "x"])
 
     got = few.mapInArrow(take, "p long, x binary").limit(4 * SAMPLE).collect() if len(p) else []  # bounded by the sample
-    size = DIMENSIONS + len(LABELLERS) * BUCKETS
+    size = SHORT + len(LABELLERS) * BUCKETS
     if not got:
         return labels, Scorer(np.zeros(size), 0.0)
     v = unpattern(np.array([r.p for r in got], np.int64))
-    x = np.stack([dense(bytes(r.x), size) for r in got])
+    x = np.empty((len(got), size), np.float32)
+    for i, r in enumerate(got):
+        x[i] = dense(bytes(r.x), size)
     weight = np.where((v == -1).any(1), 1 / share[True], 1 / share[False])
     return labels, Scorer(*fitted(x, labels.good(v), weight / weight.mean(), "logistic", 1e-4, 200))
 
