@@ -199,11 +199,7 @@ def _only_bits(node, masked: set[str]) -> bool:
     return isinstance(node, Binary) and node.op in ("&", "|") and isinstance(node.left, Name) and node.left.value in masked
 
 
-def mask(df: DataFrame, expression: str, ignore_masked_columns: bool = False) -> tuple[str, Column]:
-    """The canonical text and a boolean column for ``df``; an empty expression selects every row.
-
-    With ``ignore_masked_columns`` one aggregate over the referenced columns finds those without any finite value.
-    """
+def _compiled(df: DataFrame, expression: str, ignore_masked_columns: bool) -> tuple[str, Column]:
     if not expression.strip():
         return "", F.lit(True)
     node = parse(expression.strip())
@@ -215,8 +211,16 @@ def mask(df: DataFrame, expression: str, ignore_masked_columns: bool = False) ->
     if ignore_masked_columns and used:
         row = df.agg(*(F.max(seen(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(used))).first()
         node = without_masked(node, {c for i, c in enumerate(used) if not row[i]})
-    column = to_column(node)
-    return text, F.coalesce(_truth(node, column), F.lit(False))
+    return text, _truth(node, to_column(node))
+
+
+def mask(df: DataFrame, expression: str, ignore_masked_columns: bool = False) -> tuple[str, Column]:
+    """The canonical text and a boolean column, never null, for ``df``; an empty expression selects every row.
+
+    With ``ignore_masked_columns`` one aggregate over the referenced columns finds those without any finite value.
+    """
+    text, column = _compiled(df, expression, ignore_masked_columns)
+    return text, F.coalesce(column, F.lit(False))
 
 
 def with_mask(df: DataFrame, expression: str, into: str = "mask", ignore_masked_columns: bool = False) -> DataFrame:
@@ -225,4 +229,4 @@ def with_mask(df: DataFrame, expression: str, into: str = "mask", ignore_masked_
 
 def select(df: DataFrame, expression: str, ignore_masked_columns: bool = False) -> DataFrame:
     """The selected rows; plain comparisons reach the Parquet scan."""
-    return df.filter(mask(df, expression, ignore_masked_columns)[1])
+    return df.filter(_compiled(df, expression, ignore_masked_columns)[1])
