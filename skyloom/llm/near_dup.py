@@ -217,8 +217,11 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``docs`` with one document of each component."""
-    gone = find(docs, text, doc_id).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[f"`{doc_id}`"] == F.col("_gone"), "left_anti")
+    names = docs.columns
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    key = f"c{names.index(doc_id)}"
+    gone = find(docs, text, doc_id).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    return renamed.join(gone, key, "left_anti").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

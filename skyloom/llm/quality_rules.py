@@ -134,8 +134,10 @@ def judged(featured: DataFrame, into: str = "_q") -> DataFrame:
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that the method keeps, with the columns of ``docs``."""
-    featured = materialize(with_features(docs, text), "rules")
-    return judged(featured).filter("_q_v.kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    names = docs.columns
+    renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    featured = materialize(with_features(renamed, f"c{names.index(text)}"), "rules")
+    return judged(featured).filter("_q_v.kept").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

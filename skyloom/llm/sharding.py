@@ -8,7 +8,8 @@ being passed to the next. Only files with moved rows are rewritten where the inp
 The law is ``bytes``: shards get near equal sizes, up to about a block of smallest size (a document larger than a shard stays alone in one).
 
 Defined cases: a null text has 0 bytes and crc32 0; a null id is hashed as such; repeated rows have slots of their own; an empty table gives an
-empty result; the layout adds the columns _shard and _slot and keeps all others.
+empty result; the layout adds the columns _shard and _slot and keeps all others
+(those with such a name as <name>_in).
 """
 
 from __future__ import annotations
@@ -156,6 +157,8 @@ def size_of(text: str) -> Column:
 
 def planned(docs: DataFrame, old: Column, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS, numbered: bool = False) -> tuple[DataFrame, Plan]:
     """``docs`` with _old and _block, and the plan for them; ``old`` numbers at most MOST_OLD old shards."""
+    own = ("_old", "_block", "_piece", "_slot", *([] if numbered else ["_shard"]))
+    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c in own})
     n_old = max(1, docs.select(old.alias("o")).distinct().count())
     if n_old > MOST_OLD:
         raise ValueError(f"{n_old} old shards: the network is meant for {MOST_OLD} at most; join old shards first")
@@ -221,7 +224,7 @@ def reshard_layout(spark: SparkSession, path: str, new: str, shards: int, text:
     for (o, b), s in plan.to.items():
         if o not in giving:
             kept[s] += plan.rows[o, b]
-    changed = cut.filter(F.col("_old").isin(giving)).join(F.broadcast(table), ["_old", "_block"]).drop("_old", "_block", "_shard", "_slot").withColumnRenamed("_to", "_shard")
+    changed = cut.filter(F.col("_old").isin(giving)).join(F.broadcast(table), ["_old", "_block"]).drop("_old", "_block", "_shard", "_slot_in").withColumnRenamed("_to", "_shard")
     base = spark.createDataFrame([(s, kept[s]) for s in range(shards)], "_shard int, _base long")
     from pyspark.sql import Window
 
