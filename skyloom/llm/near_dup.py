@@ -10,7 +10,7 @@ Equal sets are one class from the start (min and max of a group's fingerprints t
 1. Rounds of representatives: in each table bucket every class is compared with two representatives, in an order that each round draws anew,
    unless both are in one component already. Rows grow with the bucket's size, never with its square.
 2. Whatever is still in two components within a bucket goes through an exact prefix and position filter, rarest shingles first; only pairs
-   across components come out, so a component's own pairs don't.
+   across components come out, so a component's own pairs don't. The most promising ones are confirmed first, then those still across.
 Every pair is confirmed by its intersection. Both steps end with connected components, written to the shared folder.
 
 Defined cases: a null, empty or wordless text has an empty set and is its own component; fewer than five words are one shingle; equal rows
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm.components import components
@@ -34,7 +34,7 @@ from skyloom.llm.textops import Words, mix, slices
 from skyloom.shipping import ship
 
 WORDS, PERCENT = 5, 85
-SIDE, WIDTH, ROUNDS = 8, 2, 3
+SIDE, WIDTH, ROUNDS, FIRST = 8, 2, 3, 3
 _RNG = np.random.default_rng(31)
 _XOR = _RNG.integers(0, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -164,7 +164,7 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 
 def across(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) with different labels that can be similar enough; members: (print, label).
+    """Pairs (a, b, shared) with different labels that can be similar enough; members: (print, label).
 
     Shingles are ordered by how few sets hold them. The first one that a similar pair shares leaves enough room in both sets for the overlap
     that the pair needs, so a set need only be known under its first shingles: fewer for the smaller of a pair than for the larger one.
@@ -185,7 +185,14 @@ def across(members: DataFrame, sets: DataFrame) -> DataFrame:
         left.alias("x").join(right.alias("y"), F.expr(f"x.h = y.h and {fit}")).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
         for left, right in ((small.filter("label != major"), held), (small.filter("label = major"), held.filter("label != major")))
     ]
-    return _bounded(met[0].union(met[1]))
+    pairs = met[0].union(met[1]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def _ranked(pairs: DataFrame) -> DataFrame:
+    """Candidates with first: whether they are among the FIRST most promising ones of either side, by shared rare shingles."""
+    rank = lambda c: F.row_number().over(Window.partitionBy(c).orderBy(F.desc("shared"), "a", "b"))
+    return pairs.withColumn("ra", rank("a")).withColumn("rb", rank("b")).select("a", "b", (F.least("ra", "rb") <= FIRST).alias("first"))
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -203,9 +210,16 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     open_ = _labelled(keys, labels)
     mixed = open_.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
     members = open_.join(mixed, "key").select("print", "label").distinct()
-    found = materialize(confirmed(across(members, sets), sets), "confirmed")
-    if not found.isEmpty():
-        labels = components(links.union(found))
+    left = materialize(_ranked(across(members, sets)), "candidates")
+    # the most promising pairs join most components, so that of the others few are still across two
+    for part in (left.filter("first"), left.filter("not first")):
+        for side in ("a", "b"):
+            part = part.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left")
+        part = part.filter("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
+        found = materialize(confirmed(part, sets), "confirmed")
+        if not found.isEmpty():
+            links = links.union(found)
+            labels = components(links)
     joined = classes.join(labels.withColumnRenamed("node", "print"), "print")
     named = joined.groupBy("label").agg(F.min("rep").alias("component"))
     linked = labels.join(named, "label").select(F.col("node").alias("print"), "component")
