@@ -20,4 +20,5 @@ SQL = {
     "op1_benchmark_leaks": benchmark_leaks.SQL,
     "op3_near_dup": near_dup.SQL,
     "op7_quality_rules": quality_rules.SQL,
+    "op9_warc": warc.SQL,
 }

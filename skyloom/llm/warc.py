@@ -208,3 +208,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     path = write(pages, folder(spark, "warc"))
     return read(spark, path, pages.schema["page_id"].dataType.simpleString()).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_FIVE = "(" + " + ".join(f"(instr('0123456789abcdef', substr(x, g * 5 + {k + 1}, 1)) - 1) * {16 ** (4 - k)}" for k in range(5)) + ")"
+#: Five hexadecimal digits are four of base 32.
+SQL = f"""
+with p as (select page_id, coalesce(html, '') as h from pages),
+f as (select h, min(page_id) as first, sha1(h) as x from p group by h)
+select page_id, strlen(h)::bigint as payload_bytes,
+  array_to_string(list_transform(range(0, 8), lambda g: {" || ".join(f"substr('{_DIGITS}', ({_FIVE} // {32 ** (3 - k)}) % 32 + 1, 1)" for k in range(4))}), '') as payload_digest,
+  case when page_id is not distinct from first then 'response' else 'revisit' end as record_type,
+  case when page_id is distinct from first then first end as refers_to
+from p join f using (h)"""
