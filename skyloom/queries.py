@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix as hp
+from skyloom.functions import kernels, scalars
 from skyloom.functions.numeric import finite
 from skyloom.operators import binning, cluster, dataset, generate, maps, pairs, stats
 from skyloom.operators.som import Som, find_hyperparameters
@@ -633,6 +634,21 @@ def gen_fullsky(spark, sf):
     return generate.fullsky_uniform(spark, 16, 2.0, 7)
 
 
+@query("kernel_add", "select l_orderkey, l_linenumber, l_partkey, l_quantity + l_tax as batch, l_quantity * l_tax as series from lineitem")
+def kernel_add(spark, sf):
+    """The same kind of kernel in both forms: over whole batches and as a column function."""
+    line = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax")
+    product = kernels.kernel("double")(lambda a, b: a * b)
+    return kernels.batch_apply(line, lambda a, b: a + b, ["l_quantity", "l_tax"], "batch").select("l_orderkey", "l_linenumber", "l_partkey", "batch", product("l_quantity", "l_tax").alias("series"))
+
+
+@query("scalar_functions", f"with {_CUST} select c_custkey, round(1 / (1 + 2 * (c_custkey % 10)::double / 10), 6) as decay, round(exp(-(c_custkey % 9)::double / 8), 6) as near, round(1 - power(1 - 0.3::double, c_custkey % 4), 6) as step, round(degrees(acos(greatest(-1, least(1, sin(radians(lat)) * sin(radians(10)) + cos(radians(lat)) * cos(radians(10)) * cos(radians(lon - 20)))))), 4) as sep from cust")
+def scalar_functions(spark, sf):
+    k = F.col("c_custkey")
+    sep = scalars.separation(F.col("lon"), F.col("lat"), F.lit(20.0), F.lit(10.0))
+    return customers(spark, sf).select("c_custkey", r(scalars.decay(k % 10, F.lit(10.0))).alias("decay"), r(scalars.neighbourhood((k % 9).cast("double"), F.lit(2.0))).alias("near"), r(scalars.density_step(F.lit(0.3), (k % 4).cast("double"))).alias("step"), r(sep, 4).alias("sep"))
+
+
 @query("stream_stats", "select event_type as key, count(value) as n, round(avg(value), 6) as mean, round(sqrt(avg(value * value)), 6) as rms, round(stddev_samp(value), 6) as std, min(value) as minimum, max(value) as maximum from events where isfinite(value) group by 1")
 def stream_stats(spark, sf):
     """The events table as a stream of files, with sums of each micro-batch kept in the shared folder."""
