@@ -381,7 +381,7 @@ def hp_ring2nest(spark, sf):
     return spark.range(hp.nside2npix(16)).select(F.col("id").alias("ring"), hp.ring2nest(16, F.col("id")).alias("nest"))
 
 
-@query("moc_nuniq", "select n_nationkey, 64 + n_nationkey as nuniq, 2 as ord, n_nationkey::bigint as idx from nation")
+@query("moc_nuniq", "select n_nationkey, (64 + n_nationkey)::bigint as nuniq, 2 as ord, n_nationkey::bigint as idx from nation")
 def moc_nuniq(spark, sf):
     n = table(spark, sf, "nation").select("n_nationkey", hp.order_index2nuniq(F.lit(2), F.col("n_nationkey")).alias("nuniq"))
     order, index = hp.nuniq2order_index(F.col("nuniq"))
