@@ -36,9 +36,9 @@ from skyloom.shipping import ship
 HEAD = 1 << 18
 FILTER_BYTES, BITS, HASHES = 32 << 20, 8, 4
 LEVELS = 48
-FLUSH_TOKENS = 3 << 20
+FLUSH_TOKENS = 2 << 20
 #: Bytes of text in a slice; a token takes some 150 bytes of arrays.
-SLICE = 2 << 20
+SLICE = 1 << 20
 FIT_DOCS, WEIGHT = 4096, 0.4
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
