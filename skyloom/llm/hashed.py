@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from skyloom.llm.textops import Words, raw, segment_sum
+from skyloom.llm.textops import raw, segment_sum
 
 SIZES = (256, 4096, 8192)
 STARTS = (0, 256, 256 + 4096)
@@ -107,4 +107,4 @@ def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge: f
     return w0 * scale, b0 - float((w0 * scale) @ mean)
 
 
-__all__ = ["DIMENSIONS", "SHORT", "Words", "dense", "fitted", "ngrams", "scores", "sparse", "vectors"]
+__all__ = ["DIMENSIONS", "SHORT", "dense", "fitted", "ngrams", "scores", "sparse", "vectors"]
