@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import healpix as hp
-from skyloom.functions.numeric import UNSEEN, UNSEEN_FLOAT, divide
+from skyloom.functions.numeric import UNSEEN, UNSEEN_FLOAT
 
 MODES = ("sum", "cov", "logquad", "log", "quad", "arith")
 
@@ -97,4 +97,4 @@ def raster(spark: SparkSession, values: DataFrame, nside: int, box: tuple[float,
     return cells.withColumn("pix", hp.ang2pix(nside, lon, lat)).join(values, "pix", "left").select("x", "y", "pix", "value")
 
 
-__all__ = ["MODES", "bounding_box", "color_limits", "density_map", "divide", "full_sky", "moc_expand", "on_footprint", "raster", "scatter", "ud_grade"]
+__all__ = ["MODES", "bounding_box", "color_limits", "density_map", "full_sky", "moc_expand", "on_footprint", "raster", "scatter", "ud_grade"]

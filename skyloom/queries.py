@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import healpix as hp
 from skyloom.functions import kernels, scalars
-from skyloom.functions.numeric import finite
 from skyloom.operators import binning, cluster, dataset, generate, maps, pairs, stats
 from skyloom.operators.som import Som, find_hyperparameters
 from skyloom.plans import cleaning, selection
@@ -664,4 +663,4 @@ def stream_stats(spark, sf):
     return out.select("key", "n", r("mean").alias("mean"), r("rms").alias("rms"), r("std").alias("std"), "minimum", "maximum")
 
 
-__all__ = ["QUERIES", "SQL", "finite"]
+__all__ = ["QUERIES", "SQL"]

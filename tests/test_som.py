@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from skyloom.operators.cluster import average, clusterize, label_centroids
 from skyloom.operators.som import Som
