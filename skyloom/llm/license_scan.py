@@ -1,9 +1,9 @@
 """Operator 6, license scans by conditional compression.
 
-Candidate blocks are the lines around cue words, merged over small gaps and cut into overlapping pieces of at most PIECE characters. Each
-block is compressed once alone and once with each template as a raw-content Zstandard dictionary; templates are ranked by how much that
-saves. The TRIED best ones, and those that tie with them, are confirmed or refuted by their exact wording: the words of the template are
-aligned with the block's, and confirmed if at most one word in ten differs and no word with a digit (a version) or acronym part is missing.
+Candidate blocks are the lines around cue words, merged over small gaps and cut into overlapping pieces of at most PIECE characters. Every
+template whose words are nearly all in a block is confirmed or refuted by its exact wording: the words of the template are aligned with the
+block's, and confirmed if at most one word in ten differs and no word with a digit (a version) or acronym part is missing. ``saved`` is what a
+confirmed template saves of the block's size as a raw-content Zstandard dictionary; it decides nothing.
 
 Defined cases: a null or empty text has no candidates; a text may hold several licenses, each found once; equal rows get equal results; an
 empty table gives an empty result; a very long line is searched around each cue; only the columns ``carry`` and the text are read.
@@ -27,7 +27,7 @@ from skyloom.shipping import ship
 
 CUES = r"licen[cs]e|copyright|rights reserved|permission (?:is hereby|to use)|redistribution|warranty|creative commons|cc[ -]?by|cc0|public domain|free software|mozilla public|spdx"
 LINE, GAP, PIECE, OVERLAP = 2000, 200, 16_000, 4_000
-TRIED, LEAST_SAVED, DIFFER = 6, 0.02, 0.1
+DIFFER = 0.1
 FOUND = "array<struct<license:string,kind:string,saved:double,template_words:int,missing:int,extra:int,start:int,stop:int>>"
 _WORD = re.compile(r"[^\W_]+(?:[.][0-9]+)*")
 
@@ -37,6 +37,14 @@ def words(text: str) -> tuple[list[str], list[int]]:
     return [m.group().lower() for m in found], [m.start() for m in found]
 
 
+def places(block: list[str]) -> dict[str, list[int]]:
+    """Where each word stands."""
+    at: dict[str, list[int]] = {}
+    for i, w in enumerate(block):
+        at.setdefault(w, []).append(i)
+    return at
+
+
 def blocks(text: str, cue: re.Pattern) -> list[tuple[int, int]]:
     """Where candidate blocks begin and end."""
     out: list[list[int]] = []
@@ -60,30 +68,22 @@ class Templates:
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, w in self.templates]
 
-    def ranked(self, block: list[str]) -> list[tuple[float, int]]:
-        """Templates by the share of the block's size that they save."""
-        data = " ".join(block).encode()
-        plain = len(self.alone.compress(data))
-        saved = sorted(((1 - len(g.compress(data)) / plain, k) for k, g in enumerate(self.given)), reverse=True)
-        least = max(LEAST_SAVED, saved[min(TRIED, len(saved)) - 1][0])
-        return [x for x in saved if x[0] >= least]
+    def saved(self, data: bytes, plain: int, k: int) -> float:
+        """The share of a block's compressed size that a template saves."""
+        return 1 - len(self.given[k].compress(data)) / plain
 
-    def compare(self, block: list[str], k: int) -> Iterator[tuple[int, int, int, int]]:
+    def compare(self, block: list[str], k: int, at: dict[str, list[int]] | None = None) -> Iterator[tuple[int, int, int, int]]:
         """Places (first word, last word, missing, extra) of a template's wording: words that it has and the block lacks, and the reverse."""
         own = self.templates[k][2]
         n = len(own)
-        at: dict[str, list[int]] = {}
-        for i, w in enumerate(block):
-            at.setdefault(w, []).append(i)
-        if sum(w in at for w in set(own)) < (1 - DIFFER) * len(set(own)):
+        at = places(block) if at is None else at
+        here = sorted((i for i in range(n) if own[i] in at), key=lambda i: len(at[own[i]]))
+        spare = int(DIFFER * n) - (n - len(here))
+        if spare < 0:
             return
-        rare = min((w for w in own if w in at), key=lambda w: len(at[w]))
-        offset, last = own.index(rare), -1
-        for place in at[rare]:
-            lo = max(0, place - offset - n // 8)
-            if lo < last:
-                continue
-            hi = min(len(block), place - offset + n + n // 8)
+        # one of spare + 1 words at least stands where the wording does
+        for lo in sorted({max(0, place - i - n // 8) for i in here[: spare + 1] for place in at[own[i]]}):
+            hi = min(len(block), lo + n + 2 * (n // 8))
             parts = [b for b in SequenceMatcher(None, own, block[lo:hi], autojunk=False).get_matching_blocks() if b.size]
             if not parts:
                 continue
@@ -93,8 +93,7 @@ class Templates:
             if any(re.search(r"\d", own[i]) or len(own[i]) <= 3 and n <= 12 for i in lacking):
                 continue
             if (n - matched) + (span - matched) <= DIFFER * n:
-                last = lo + parts[-1].b + parts[-1].size
-                yield lo + parts[0].b, last - 1, n - matched, span - matched
+                yield lo + parts[0].b, lo + parts[-1].b + parts[-1].size - 1, n - matched, span - matched
 
     def scan(self, text: str, cue: re.Pattern) -> tuple[int, list[tuple]]:
         found: dict[tuple[str, str], tuple] = {}
@@ -103,15 +102,19 @@ class Templates:
             block, starts = words(text[a:b])
             if not block:
                 continue
-            for saved, k in self.ranked(block):
-                spdx, kind, own = self.templates[k]
-                for start, end, missing, extra in self.compare(block, k):
+            at, data = places(block), " ".join(block).encode()
+            plain = len(self.alone.compress(data))
+            for k, (spdx, kind, own) in enumerate(self.templates):
+                saved = None
+                for start, end, missing, extra in self.compare(block, k, at):
+                    saved = self.saved(data, plain, k) if saved is None else saved
                     new = (spdx, kind, round(saved, 6), len(own), missing, extra, a + starts[start], a + starts[end] + len(block[end]))
                     old = found.get((spdx, kind))
                     if old is None or (missing + extra, a + starts[start]) < (old[4] + old[5], old[6]):
                         found[spdx, kind] = new
-        # wording that stands within another license's longer wording is a part of that one
-        whole = [x for x in found.values() if not any(y[3] > x[3] and y[6] <= x[6] and x[7] <= y[7] for y in found.values())]
+        # wording within another license's is a part of that one, if the other fits more words, or as many with fewer differences
+        rank = lambda x: (x[3] - x[4] - x[5], -x[4] - x[5])
+        whole = [x for x in found.values() if not any(rank(y) > rank(x) and y[6] <= x[6] and x[7] <= y[7] for y in found.values())]
         return len(spans), sorted(whole, key=lambda x: (x[6], x[0], x[1]))
 
 

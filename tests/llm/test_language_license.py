@@ -50,3 +50,27 @@ def test_licenses(spark, odd, empty):
     got = {r.doc_id: {m.license for m in r.matches} for r in license_scan.scanned(docs).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
     assert license_scan.scanned(odd).count() == odd.count() and license_scan.scanned(empty).count() == 0
+
+
+def licenses(text):
+    return {m[0] for m in license_scan.Templates().scan(text, license_scan.re.compile(license_scan.CUES, license_scan.re.IGNORECASE))[1]}
+
+
+def test_many_licenses_in_one_block():
+    gnu, by = "licensed under the GNU General Public License, version 3.", "licensed under CC BY 4.0."
+    assert licenses(f"{gnu}\nThe photographs are {by}") == {"GPL-3.0", "CC-BY-4.0"}
+    named = {spdx: text for spdx, kind, text in TEMPLATES if kind == "notice"}
+    eight = ("MIT", "Apache-2.0", "CC-BY-4.0", "GPL-3.0", "MPL-2.0", "ISC", "CC-BY-SA-4.0", "CC0-1.0")
+    for separator in ("\n", ". "):
+        assert licenses(separator.join(f"Part {i} is licensed {named[x]}" for i, x in enumerate(eight))) == set(eight)
+    assert licenses("word " * 900 + separator.join(f"licensed {named[x]}" for x in eight) + " word" * 900) == set(eight)
+
+
+def test_a_wording_is_its_own_license():
+    for spdx, kind, text in TEMPLATES:
+        assert licenses(text) == {spdx}, (spdx, kind)
+
+
+def test_words_that_also_stand_elsewhere():
+    text = next(t for spdx, kind, t in TEMPLATES if (spdx, kind) == ("MIT", "text"))
+    assert licenses(text.replace("furnished", "given") + "\nThe license was furnished. " + "x " * 200 + "license") == {"MIT"}
