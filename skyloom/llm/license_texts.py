@@ -1,4 +1,4 @@
-"""Wordings of public licenses and of the usual notices that name them: (SPDX id, kind, text). ``<...>`` stands for any few words."""
+"""Wordings of public licenses and of the usual notices that name them: (SPDX id, kind, text). ``<...>`` stands for any few words, or none."""
 
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
@@ -14,7 +14,7 @@ _BSD2 = (
     "documentation and/or other materials provided with the distribution."
 )
 _BSD3 = _BSD2 + (
-    " Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this "
+    " Neither the name of <...> nor the names of its contributors may be used to endorse or promote products derived from this "
     "software without specific prior written permission."
 )
 _ISC = (
@@ -40,18 +40,22 @@ _UNLICENSE = (
     "distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
 )
 _NAMED = [
-    ("MIT", "MIT License"), ("Apache-2.0", "Apache License, Version 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
-    ("GPL-2.0", "GNU General Public License, version 2"), ("GPL-3.0", "GNU General Public License, version 3"), ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
-    ("LGPL-3.0", "GNU Lesser General Public License, version 3"), ("AGPL-3.0", "GNU Affero General Public License, version 3"), ("MPL-2.0", "Mozilla Public License, version 2.0"),
-    ("ISC", "ISC License"), ("CC0-1.0", "CC0 1.0"), ("CC-BY-3.0", "CC BY 3.0"), ("CC-BY-4.0", "CC BY 4.0"), ("CC-BY-SA-3.0", "CC BY-SA 3.0"), ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "CC BY-NC 4.0"), ("CC-BY-ND-4.0", "CC BY-ND 4.0"), ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"), ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+    ("MIT", "MIT License"), ("Apache-2.0", "Apache License <...> 2.0"), ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("GPL-2.0", "GNU General Public License <...> version 2"), ("GPL-3.0", "GNU General Public License <...> version 3"), ("LGPL-2.1", "GNU Lesser General Public License <...> version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License <...> version 3"), ("AGPL-3.0", "GNU Affero General Public License <...> version 3"), ("MPL-2.0", "Mozilla Public License <...> 2.0"),
+    ("ISC", "ISC License"), ("Unlicense", "Unlicense"),
 ]
+_CC = [("CC-BY", "BY", "Attribution"), ("CC-BY-SA", "BY-SA", "Attribution-ShareAlike"), ("CC-BY-NC", "BY-NC", "Attribution-NonCommercial"), ("CC-BY-ND", "BY-ND", "Attribution-NoDerivatives"),
+       ("CC-BY-NC-SA", "BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("CC-BY-NC-ND", "BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+_CC_NAMES = [(f"{spdx}-{v}", name) for v in ("3.0", "4.0") for spdx, short, long in _CC for name in (f"CC {short} {v}", f"Creative Commons {long} {v}", f"Creative Commons {long} License {v}", f"Creative Commons {long} License, version {v}")]
 TEMPLATES: list[tuple[str, str, str]] = [
     ("MIT", "text", _MIT), ("BSD-2-Clause", "text", _BSD2), ("BSD-3-Clause", "text", _BSD3), ("ISC", "text", _ISC), ("Apache-2.0", "header", _APACHE),
     ("GPL-2.0", "header", _gnu("General Public License", "2")), ("GPL-3.0", "header", _gnu("General Public License", "3")),
+    ("LGPL-2.0", "header", _gnu("Library General Public License", "2")), ("LGPL-2.1", "header", _gnu("Lesser General Public License", "2.1")),
     ("LGPL-3.0", "header", _gnu("Lesser General Public License", "3")), ("AGPL-3.0", "header", _gnu("Affero General Public License", "3")),
     ("MPL-2.0", "header", _MPL), ("Unlicense", "text", _UNLICENSE),
-    *((spdx, "notice", f"under the {name}") for spdx, name in _NAMED if not spdx.startswith("CC")),
-    *((spdx, "notice", f"under {name}") for spdx, name in _NAMED if spdx.startswith("CC")),
+    *((spdx, "notice", f"under <...> {name}") for spdx, name in _NAMED),
+    *((spdx, "notice", name) for spdx, name in _CC_NAMES),
+    ("CC0-1.0", "notice", "CC0 1.0"), ("CC0-1.0", "notice", "Creative Commons Zero <...> 1.0"),
     ("LicenseRef-reserved", "notice", "All rights reserved"),
 ]

@@ -74,3 +74,25 @@ def test_a_wording_is_its_own_license():
 def test_words_that_also_stand_elsewhere():
     text = next(t for spdx, kind, t in TEMPLATES if (spdx, kind) == ("MIT", "text"))
     assert licenses(text.replace("furnished", "given") + "\nThe license was furnished. " + "x " * 200 + "license") == {"MIT"}
+
+
+def test_wrapped_and_named_licenses():
+    filler = "alpha beta gamma delta\n" * 200
+    unlicense = (
+        "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or\n"
+        "distribute this software, either in source code form or as a compiled\nbinary, for any purpose, commercial or non-commercial, and by any\nmeans.\n\n"
+        "In jurisdictions that recognize copyright laws, the author dedicates it."
+    )
+    gnu = (
+        "{0} is free software{3} you can redistribute it and/or modify\nit under the terms of the GNU {1} as published by\n"
+        "the Free Software Foundation{3} either version {2} of the License, or\n(at your option) any later version."
+    )
+    cases = {
+        unlicense: {"Unlicense"}, gnu.format("This program", "General Public License", "3", ";"): {"GPL-3.0"}, gnu.format("This library", "Lesser General Public License", "2.1", ";"): {"LGPL-2.1"},
+        "This file is under the terms of the MIT License.": {"MIT"}, "Distributed under the MIT licence": {"MIT"}, "# SPDX-License-Identifier: MIT": {"MIT"}, "SPDX-License-Identifier: (GPL-2.0-or-later WITH Classpath-exception-2.0) OR Zlib": {"GPL-2.0", "Zlib"},
+        "Text CC BY 4.0": {"CC-BY-4.0"}, "Creative Commons Attribution 4.0 International": {"CC-BY-4.0"}, "Creative Commons Attribution-ShareAlike 3.0 Unported License": {"CC-BY-SA-3.0"},
+        "under the GNU General Public License as published by the Free Software Foundation, version 2.": {"GPL-2.0"}, "under the Apache License, Version 2.0 or the MIT License": {"Apache-2.0", "MIT"},
+    }
+    for text, want in cases.items():
+        assert licenses(filler + text) == want, text
+        assert licenses(text + "\n" + filler) == want, text
