@@ -4,8 +4,9 @@ Eight overlapping heuristic labellers call a text good, bad or abstain. Expectat
 estimates how often each calls bad on bad and on good texts; the posterior of a pattern is a soft label. A logistic scorer over hashed byte
 n-grams and bucketed text measures learns these labels and scores every text; texts below KEEP_AT are rejected.
 
-Pattern counts cover all rows. The scorer alone learns from a sample: of texts with and without a bad vote at most about SAMPLE each,
-weighted back to their shares.
+Pattern counts cover all rows. The scorer alone learns from a sample: of texts with and without a bad vote about SAMPLE each at most,
+weighted back to their shares. A row's lot comes from its text, the columns ``carry`` and its number among rows equal in these, so blank texts and
+copies are drawn at their share, whatever the partitions.
 
 Defined cases: a null or empty text has no words, gets a bad vote for its length and is scored like any other; equal rows get equal results; an empty
 table gives an empty result; null doc_ids are kept as they are; only the columns ``carry`` and the text are read, so other names can't clash.
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.hashed import SHORT, dense, fitted, scores, sparse, vectors
-from skyloom.llm.textops import Words, raw, segment_sum, slices
+from skyloom.llm.scratch import materialize
+from skyloom.llm.textops import Words, mix, raw, segment_sum, slices
 from skyloom.shipping import ship
 
 LABELLERS = ("short", "symbols", "exclaims", "capitals", "same_word_again", "few_distinct", "odd_words", "same_line_again")
@@ -146,58 +148,77 @@ class Scorer:
         return 1 / (1 + np.exp(np.clip(-s, -50, 50)))
 
 
-def learned(docs: DataFrame, text: str = "text") -> tuple[Labels, Scorer]:
-    """Labels from the patterns of all rows, and the scorer that learns them."""
+def drawn(key: np.ndarray, copies: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """How many of a key's copies are in the sample: each has its own lot, from the key and its number among them."""
+    out = np.zeros(len(key), np.int64)
+    for i in np.flatnonzero(copies > 1).tolist():
+        for lo in range(1, int(copies[i]), 1 << 20):
+            number = np.arange(lo, min(int(copies[i]), lo + (1 << 20)), dtype=np.uint64)
+            out[i] += int((_lots(key[i] + number * np.uint64(0x9E3779B97F4A7C15)) < share[i]).sum())
+    return out + (_lots(key) < share)
+
+
+def _lots(key: np.ndarray) -> np.ndarray:
+    return (mix(key) >> np.uint64(11)).astype(float) / (1 << 53)
+
+
+def learned(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ()) -> tuple[Labels, Scorer]:
+    """Labels from the patterns of all rows, and the scorer that learns them; the columns ``keys`` and the text spread the sample."""
     ship(docs.sparkSession)
-    few = docs.select(docs[f"`{text}`"].alias("_text"))
+    key = F.xxhash64(F.lit(5), docs[f"`{text}`"], *(docs[f"`{c}`"].cast("string") for c in keys))
+    few = docs.select(docs[f"`{text}`"].alias("_text"), key.alias("_key"))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, int] = {}
         for whole in batches:
             for batch in slices(whole, "_text"):
-                for p, c in zip(*(x.tolist() for x in np.unique(pattern(votes(measures(batch.column(0)))), return_counts=True)), strict=True):
-                    seen[p] = seen.get(p, 0) + c
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["p", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(measures(batch.column(0))))), batch.column(1)], names=["p", "key"])
 
-    rows = few.mapInArrow(look, "p long, c long").groupBy("p").agg(F.sum("c").alias("c")).collect()  # 3 ** labellers rows at most
+    looked = materialize(few.mapInArrow(look, "p long, key long").groupBy("p", "key").agg(F.count(F.lit(1)).alias("c")), "patterns")
+    rows = looked.groupBy("p").agg(F.sum("c").alias("c")).collect()  # 3 ** labellers rows at most
     p, c = np.array([r.p for r in rows], np.int64), np.array([r.c for r in rows], np.int64)
+    order = np.argsort(p)
+    p, c = p[order], c[order]
     labels = Labels(p, c)
     odd = (unpattern(p) == -1).any(1) if len(p) else np.empty(0, bool)
     share = {flag: min(1.0, SAMPLE / max(1, int(c[odd == flag].sum()))) for flag in (False, True)}
 
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "_text", 1 << 20):
-                column = batch.column(0)
-                w = Words(column, Words.SPACE)
-                lot = (segment_sum(w.hash, w.first) >> np.uint64(11)).astype(float) / (1 << 53)
-                close = np.flatnonzero(lot < max(share.values()))
-                if not len(close):
-                    continue
-                column = column.take(pa.array(close))
-                m = measures(column)
-                v = votes(m)
-                own = np.flatnonzero(lot[close] < np.where((v == -1).any(1), share[True], share[False]))
-                for lo in range(0, len(own), 32):
-                    at = own[lo : lo + 32]
-                    x = _inputs(column.take(pa.array(at)), m[at])
-                    yield pa.RecordBatch.from_arrays([pa.array(pattern(v[at])), pa.array([sparse(r) for r in x], pa.binary())], names=["p", "x"])
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, n = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            bad = (unpattern(batch.column(0).to_numpy()) == -1).any(1)
+            times = drawn(own.view(np.uint64), n, np.where(bad, share[True], share[False]))
+            at = pa.array(np.flatnonzero(times))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(times).take(at)], names=["p", "key", "times"])
 
-    got = few.mapInArrow(take, "p long, x binary").limit(4 * SAMPLE).collect() if len(p) else []  # bounded by the sample
+    lots = {r.key: r for r in looked.mapInArrow(draw, "p long, key long, times long").collect()}  # SAMPLE with and SAMPLE without a bad vote on average
+    wanted = np.array(sorted(lots), np.int64)
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
+        for batch in batches:
+            own = batch.column(1).to_numpy()
+            for i in np.flatnonzero(np.isin(own, wanted)).tolist():
+                if int(own[i]) not in done:
+                    done.add(int(own[i]))
+                    column = batch.column(0).slice(i, 1)
+                    x = _inputs(column, measures(column))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, 1), pa.array([sparse(x[0])], pa.binary())], names=["key", "x"])
+
+    got = {r.key: r.x for r in few.mapInArrow(take, "key long, x binary").dropDuplicates(["key"]).collect()} if len(wanted) else {}  # a row a key
     size = SHORT + len(LABELLERS) * BUCKETS
     if not got:
         return labels, Scorer(np.zeros(size), 0.0)
-    v = unpattern(np.array([r.p for r in got], np.int64))
-    x = np.empty((len(got), size), np.float32)
-    for i, r in enumerate(got):
-        x[i] = dense(bytes(r.x), size)
-    weight = np.where((v == -1).any(1), 1 / share[True], 1 / share[False])
+    v = unpattern(np.array([lots[k].p for k in wanted.tolist()], np.int64))
+    x = np.empty((len(wanted), size), np.float32)
+    for i, k in enumerate(wanted.tolist()):
+        x[i] = dense(bytes(got[k]), size)
+    weight = np.where((v == -1).any(1), 1 / share[True], 1 / share[False]) * np.array([lots[k].times for k in wanted.tolist()])
     return labels, Scorer(*fitted(x, labels.good(v), weight / weight.mean(), "logistic", 1e-4, 200))
 
 
 def judged(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``carry``, n_bad_votes, weak_label (posterior of good), score and kept."""
-    sent = docs.sparkSession.sparkContext.broadcast(learned(docs, text))
+    sent = docs.sparkSession.sparkContext.broadcast(learned(docs, text, carry))
     few = docs.select(*(f"`{c}`" for c in carry), docs[f"`{text}`"].alias("_text"))
     k = len(carry)
 

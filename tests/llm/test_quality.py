@@ -64,3 +64,26 @@ def test_classifier_odd_rows(odd, empty):
     assert quality_classifier.judged(odd).count() == odd.count()
     assert quality_classifier.keep_good(odd).columns == odd.columns
     assert quality_classifier.judged(empty).count() == 0
+
+
+def test_blanks_and_copies_are_sampled_at_their_share(spark, monkeypatch):
+    """Blank texts and copies don't crowd the other texts out of the scorer's sample."""
+    monkeypatch.setattr(quality_classifier, "SAMPLE", 60)
+    seen = []
+    real = quality_classifier.fitted
+    monkeypatch.setattr(quality_classifier, "fitted", lambda x, y, weight, *more: seen.append((len(x), y, weight)) or real(x, y, weight, *more))
+    docs = corpus(spark, 300).selectExpr("doc_id", "text").unionAll(spark.range(5000, 5600).selectExpr("id as doc_id", "if(id % 2 = 0, null, ' ') as text"))
+    copies = spark.range(400).selectExpr("cast(null as long) as doc_id", "repeat('same words here again ', 12) as text")
+    for part in (1, 5):
+        got = quality_classifier.judged(docs.unionAll(copies).repartition(part))
+        truth = {r.doc_id: (r.score, r.kept) for r in got.filter("doc_id < 2000").collect()}
+        assert len(truth) == 600 and sum(kept == (i < 1000) for i, (_, kept) in truth.items()) > 0.9 * 600
+        seen.append(truth)
+    (n, _, _), first, _, second = seen
+    assert 60 < n < 180 and all(abs(first[i][0] - second[i][0]) < 1e-6 for i in first)
+
+
+def test_lots_of_copies():
+    key, copies = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x12345678912345), np.array([1, 500] * 1000)
+    times = quality_classifier.drawn(key, copies, np.full(2000, 0.1))
+    assert abs(times[::2].mean() - 0.1) < 0.04 and abs(times[1::2].mean() - 50) < 1 and times[1::2].min() > 15
