@@ -9,8 +9,8 @@ after the other until one is missing and so gets the count up to a factor of two
 BITS bits for each entry within FILTER_BYTES, so what is broadcast has a fixed bound; n-grams below it back off to unigrams.
 
 Score: log10 of the product of  w * c(v, w) / c(v) + (1 - w * f(c(v))) * p(w),  p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),  over tokens w after v; a
-text's first token follows an end token. f is the share of tokens after contexts of that frequency whose bigram is in the filter, taken from
-at most FIT_DOCS training texts (a bound of this fit alone).
+text's first token follows an end token. f is the share of tokens after contexts of that frequency whose bigram is in the filter, over all
+training texts.
 
 Base score: exact counts. Words that occur often, HEAD at most, are looked up in a broadcast table; the others are joined by a shuffle.
 
@@ -39,7 +39,7 @@ LEVELS = 48
 FLUSH_TOKENS = 2 << 20
 #: Bytes of text in a slice; a token takes some 150 bytes of arrays.
 SLICE = 1 << 20
-FIT_DOCS, WEIGHT = 4096, 0.4
+WEIGHT = 0.4
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], np.uint64)
 
@@ -280,11 +280,7 @@ def trained(train: DataFrame) -> tuple[Model, DataFrame, int]:
 
 
 def _fit(model: Model, train: DataFrame, spark: SparkSession) -> None:
-    """f by levels, from a sample of training texts of about FIT_DOCS at most."""
-    n = train.count()
-    if not n:
-        return
-    part = train.filter(F.pmod(F.xxhash64("_key", F.lit(7)), F.lit(1 << 20)) < int(min(1.0, FIT_DOCS / n) * (1 << 20)))
+    """f by levels, over all training texts."""
     sent = spark.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,7 +294,7 @@ def _fit(model: Model, train: DataFrame, spark: SparkSession) -> None:
                 kept += np.bincount(level, both > 0, LEVELS)
         yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(seen), pa.array(kept)], names=["l", "seen", "kept"])
 
-    for r in part.select("_text").mapInArrow(look, "l int, seen double, kept double").groupBy("l").agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept")).collect():  # LEVELS rows
+    for r in train.select("_text").mapInArrow(look, "l int, seen double, kept double").groupBy("l").agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept")).collect():  # LEVELS rows
         model.share[r.l] = r.kept / r.seen if r.seen else 0.0
 
 

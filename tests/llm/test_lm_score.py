@@ -60,3 +60,13 @@ def test_fluent_text_scores_higher(spark):
 
 def test_empty(empty):
     assert op.scored(empty.withColumn("_held", F.lit(False)), text="text").count() == 0
+
+
+def test_shares_come_from_all_training_texts(spark):
+    rows = [(f"often w{i % 50} x{i}" if i % 2 else f"often w{i % 50}",) for i in range(9000)]
+    model, _, _ = op.trained(spark.createDataFrame([(t, str(i)) for i, (t,) in enumerate(rows)], "_text string, _key string").repartition(3))
+    seen, kept = np.zeros(op.LEVELS), np.zeros(op.LEVELS)
+    _, context, both = model.counts(*op.tokens(op.pa.array([t for t, in rows])))
+    np.add.at(seen, model.level(context), context > 0)
+    np.add.at(kept, model.level(context), both > 0)
+    assert np.allclose(model.share, kept / np.maximum(seen, 1), atol=1e-12)
