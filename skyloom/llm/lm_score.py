@@ -5,8 +5,8 @@ parts, twice as many as scan tasks, merge blocks. So every n-gram of the trainin
 task's memory depends on how often a word occurs.
 
 Filter: an n-gram counted c times enters at the levels 0 to log2(c) - cutoff, HASHES bits each, in its part's segment. A reader probes one level
-after the other until one is missing and so gets the count up to a factor of two. The cutoff is the least (1 at least) at which the filter has
-BITS bits for each entry within FILTER_BYTES, so what is broadcast has a fixed bound; n-grams below it back off to unigrams.
+after the other until one is missing and so gets the count up to a factor of two. The model's cutoff is 0 and its filter has BITS bits for each
+entry, so every n-gram counts, those that occur once too, and what is broadcast grows with the number of distinct n-grams.
 
 Score: log10 of the product of  w * c(v, w) / c(v) + (1 - w * f(c(v))) * p(w),  p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),  over tokens w after v; a
 text's first token follows an end token. f is the share of tokens after contexts of that frequency whose bigram is in the filter, over all
@@ -34,7 +34,7 @@ from skyloom.llm.textops import Words, mix, segment_sum, slices
 from skyloom.shipping import ship
 
 HEAD = 1 << 18
-FILTER_BYTES, BITS, HASHES = 32 << 20, 8, 4
+BITS, HASHES = 8, 4
 LEVELS = 48
 FLUSH_TOKENS = 2 << 20
 #: Bytes of text in a slice; a token takes some 150 bytes of arrays.
@@ -225,15 +225,14 @@ class Model:
 
 
 def _filter(merged: DataFrame, parts: int) -> Filter:
-    """The filter, built by parts on the executors; its segments come to the driver, FILTER_BYTES together at most."""
+    """The filter, built by parts on the executors; its segments come to the driver, about BITS bits an entry together."""
     spread = merged.select(F.posexplode("levels").alias("l", "k")).groupBy("l").agg(F.sum("k").alias("k")).collect()  # LEVELS rows
     words = np.zeros(LEVELS)
     for r in spread:
         words[r.l] = r.k
-    entries = lambda cut: float((words[cut:] * (np.arange(LEVELS - cut) + 1)).sum())
-    cutoff = next(c for c in range(1, LEVELS) if entries(c) * BITS <= FILTER_BYTES * 8 or c == LEVELS - 1)
-    grams = Filter(parts, int(max(64, entries(cutoff) * BITS * 1.05 / parts + 64)), cutoff)
-    shape = (parts, grams.bits, cutoff)
+    entries = float((words * (np.arange(LEVELS) + 1)).sum())
+    grams = Filter(parts, int(max(64, entries * BITS * 1.05 / parts + 64)), 0)
+    shape = (parts, grams.bits, grams.cutoff)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Filter.__new__(Filter)

@@ -70,3 +70,21 @@ def test_shares_come_from_all_training_texts(spark):
     np.add.at(seen, model.level(context), context > 0)
     np.add.at(kept, model.level(context), both > 0)
     assert np.allclose(model.share, kept / np.maximum(seen, 1), atol=1e-12)
+
+
+def test_what_occurs_once_counts(spark):
+    rows = [(i, "the cat sat on the mat and the dog sat on the rug") for i in range(200)]
+    rows += [(500, "a zebra yawned"), (1000, "a zebra yawned"), (1001, "a quokka yawned"), (1002, "yawned zebra a"), (1003, "the zebra"), (1004, "the quokka")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("_held", F.col("doc_id") >= 1000)
+    s = {r.doc_id: r.score for r in op.scored(docs, text="text").filter("doc_id >= 1000").collect()}
+    assert s[1000] > s[1001] + 1 and s[1000] > s[1002] + 1 and s[1003] > s[1004] + 0.5
+
+
+def test_the_filter_grows_with_the_counts(spark):
+    size = []
+    for n in (2000, 20000):
+        model, _, _ = op.trained(spark.createDataFrame([(f"a{i} b{i}", str(i)) for i in range(n)], "_text string, _key string"))
+        one, _, both = model.counts(*op.tokens(op.pa.array([f"a{i} b{i}" for i in range(0, n, 7)])))
+        assert (one > 0).all() and (both > 0).all()
+        size.append(len(model.grams.data))
+    assert size[1] > 5 * size[0]
