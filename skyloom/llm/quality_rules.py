@@ -1,14 +1,18 @@
 """Operator 7, quality rules by weak supervision, in DataFrame and SQL functions alone.
 
-Eight rules look at counts of one text; each votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates for each rule
-how often it votes bad on bad and on good texts, and the posterior probability of a good text decides, in place of "every rule must pass".
+Twelve overlapping rules look at counts of one text; each votes good (1), bad (-1) or abstains (0). Expectation-maximisation estimates how often
+rules vote bad on good texts, one rate for each rule and free, and on the kinds of bad texts: a kind has a share of all texts, a rate for each
+rule of its theme (on average at least BROKEN of them call a text of the kind bad) and one rate for the other rules. A bad vote never speaks for good.
+The posterior probability of a good text decides, in place of "every rule must pass": rules of a theme that agree win, and a rule that often is
+alone with its bad votes loses its say.
 
-One pass computes the counts and writes them (a few numbers a row); the vote patterns, at most 3**8 of them, are counted by a shuffle of
-partial counts; the EM iterations run inside one SQL expression over that single row. Nothing is collected to the driver.
+One pass computes the counts and writes them (a few numbers a row); the vote patterns, at most 3**12 of them and in practice some hundreds,
+are counted by a shuffle of partial counts; the EM iterations run inside one SQL expression over that single row, patterns in sorted
+order, so that sums don't depend on tasks. Nothing is collected to the driver.
 
 Defined cases: a null or empty text has no words and fails the base rule; equal rows get equal results; an empty table gives an empty result;
 null doc_ids are kept as they are; columns of ``docs`` with the names of outputs don't clash, since features live in one struct column.
-Eight-word windows are compared by chained 64-bit hashes, within one text only.
+Eight-word windows and word pairs are compared by chained 64-bit hashes, within one text only.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ from pyspark.sql import functions as F
 from skyloom.llm.scratch import materialize
 
 WINDOW = 8
-RULES = ("length", "symbols", "dup_lines", "repeats", "adjacent", "capitals", "exclaims", "word_size")
-#: EM: iterations, first guesses, and pseudo-counts that hold a rule to its guess where votes are few.
-ITERATIONS, PRIOR_BAD, BAD_ON_BAD, BAD_ON_GOOD, PSEUDO = 25, 0.1, 0.35, 0.001, 20.0
-#: A rule is written to be almost silent on good texts: its rate there is estimated up to this bound. Without it, votes that no other rule
-#: shares would be explained as noise of the good class, however many they are.
-MOST_BAD_ON_GOOD = 0.002
+RULES = ("length", "symbols", "symbol_words", "bare_words", "letters", "dup_lines", "repeats", "pairs", "adjacent", "capitals", "exclaims", "word_size")
+THEMES = (("length", "word_size"), ("symbols", "symbol_words", "bare_words", "letters"), ("dup_lines", "repeats", "pairs", "adjacent"), ("capitals", "exclaims"))
+ITERATIONS = 25
+#: First guesses: share of each kind of bad texts, rates of bad votes within a kind's theme, beyond it and on good texts; pseudo-counts for them.
+KIND, WITHIN, BEYOND, ON_GOOD, PSEUDO = 0.025, 0.6, 0.05, 0.01, 20.0
+BROKEN = 1.5
 KEEP_AT = 0.5
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: A word with a symbol, and one without letter or digit; both start after white space, so that a long word is passed over once.
+_SYMBOL_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D#*$%&|<>{}^~=\\]*+[#*$%&|<>{}^~=\\]"
+_BARE_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{M}\p{N}]++(?![^\x20\x09-\x0D])"
 
 
 def _halves(a: Column, step: int) -> Column:
@@ -45,8 +52,9 @@ def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> Data
     df = docs.withColumn(p + "t", t)
     df = df.withColumn(p + "w", F.expr(rf"filter(split({p}t, '[\\x20\\x09-\\x0D]+'), w -> w != '')"))
     df = df.withColumn(p + "l", F.expr(rf"filter(split({p}t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
-    df = df.withColumn(p + "h", F.when(F.size(p + "w") > WINDOW, F.expr(f"transform({p}w, w -> xxhash64(w))")).otherwise(F.expr("array(0L)")))
-    for step in (1, 2, 4):
+    df = df.withColumn(p + "h", _halves(F.expr(f"transform({p}w, w -> xxhash64(w))"), 1))
+    df = df.withColumn(p + "a", F.size(p + "h") - F.size(F.array_distinct(p + "h")))
+    for step in (2, 4):
         df = df.withColumn(p + "h", _halves(F.col(p + "h"), step))
     df = df.withColumn(p + "d", F.size(p + "h") > F.size(F.array_distinct(p + "h")))
     s = f"sort_array(transform({p}h, (h, i) -> struct(h, i)))"
@@ -65,20 +73,28 @@ def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> Data
             F.size(p + "l").cast("long").alias("n_lines"),
             (F.size(p + "l") - F.size(F.array_distinct(p + "l"))).cast("long").alias("n_dup_lines"),
             F.coalesce(F.expr(repeats), F.lit(0)).cast("long").alias("n_repeat_words"),
+            F.col(p + "a").cast("long").alias("n_pairs_again"),
+            F.regexp_count(p + "t", F.lit(_SYMBOL_WORD)).cast("long").alias("n_symbol_words"),
+            F.regexp_count(p + "t", F.lit(_BARE_WORD)).cast("long").alias("n_bare_words"),
+            (F.length(p + "t") - F.length(F.regexp_replace(p + "t", r"[\p{L}\p{M}\p{N}]+", ""))).cast("long").alias("n_letters"),
             F.expr(f"case when size({p}w) > 1 then size(filter({p}w, (w, i) -> w = {p}w[greatest(i - 1, 0)])) - 1 else 0 end").cast("long").alias("n_adjacent"),
             without(_CAPITALS).cast("long").alias("n_capitals"),
             without("!").cast("long").alias("n_exclaims"),
         ),
     )
-    return df.drop(*(p + x for x in "twlhdsp"))
+    return df.drop(*(p + x for x in "twlhadsp"))
 
 
-#: (bad if, good if, else abstain), in SQL that Spark and DuckDB share; {f} is the struct or table of counts.
+#: (bad if, good if, else abstain); {f} is the struct of counts.
 VOTES = {
     "length": ("{f}.n_words < 20", "{f}.n_words >= 40"),
     "symbols": ("10 * {f}.n_symbols > {f}.n_words", "50 * {f}.n_symbols <= {f}.n_words"),
+    "symbol_words": ("5 * {f}.n_symbol_words > {f}.n_words", "50 * {f}.n_symbol_words <= {f}.n_words"),
+    "bare_words": ("10 * {f}.n_bare_words > {f}.n_words", "50 * {f}.n_bare_words <= {f}.n_words"),
+    "letters": ("100 * {f}.n_letters < 75 * {f}.word_chars", "100 * {f}.n_letters >= 88 * {f}.word_chars"),
     "dup_lines": ("{f}.n_dup_lines >= 3 and 10 * {f}.n_dup_lines > 3 * {f}.n_lines", "{f}.n_lines >= 2 and 20 * {f}.n_dup_lines <= {f}.n_lines"),
     "repeats": ("100 * {f}.n_repeat_words > 30 * {f}.n_words", "100 * {f}.n_repeat_words <= 10 * {f}.n_words"),
+    "pairs": ("100 * {f}.n_pairs_again > 45 * {f}.n_words", "100 * {f}.n_pairs_again <= 30 * {f}.n_words"),
     "adjacent": ("5 * {f}.n_adjacent > {f}.n_words", "20 * {f}.n_adjacent <= {f}.n_words"),
     "capitals": ("100 * {f}.n_capitals > 40 * {f}.word_chars", "100 * {f}.n_capitals <= 20 * {f}.word_chars"),
     "exclaims": ("4 * {f}.n_exclaims > {f}.n_words", "50 * {f}.n_exclaims <= {f}.n_words"),
@@ -92,31 +108,54 @@ def votes(f: str) -> Column:
     return F.expr("array(" + ", ".join(f"case when {b} then -1 when {g} then 1 else 0 end" for b, g in (VOTES[r] for r in RULES)).format(f=f) + ")")
 
 
-def _log_odds(v: str, s: str) -> str:
-    """Log odds of bad against good for votes ``v`` under the state ``s``: prior, then a rule's rate of bad votes on bad and on good texts."""
-    j = len(RULES)
+_J, _K = len(RULES), len(THEMES)
+
+
+def _likelihoods(v: str, s: str) -> str:
+    """Logarithms for good and each kind: share times the chance of the votes ``v``. The state ``s``: shares, then rates of bad votes, class by class."""
     return (
-        f"aggregate(sequence(0, {j - 1}), ln({s}[0] / (1 - {s}[0])), (o, j) -> o + case {v}[j] "
-        f"when -1 then ln({s}[j + 1] / {s}[j + {j + 1}]) when 1 then ln((1 - {s}[j + 1]) / (1 - {s}[j + {j + 1}])) else 0D end)"
+        f"transform(sequence(0, {_K}), k -> aggregate(sequence(0, {_J - 1}), ln({s}[k]), (o, j) -> o + case {v}[j] "
+        f"when -1 then ln({s}[{_K + 1} + {_J} * k + j]) when 1 then ln(1 - {s}[{_K + 1} + {_J} * k + j]) else 0D end))"
     )
 
 
+def _posterior(v: str, s: str) -> str:
+    """Probabilities of good and each kind."""
+    return f"transform(array({_likelihoods(v, s)}), l -> transform(array(transform(l, x -> exp(x - array_max(l)))), e -> transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y)))[0])[0]"
+
+
 def em_parameters(voted: DataFrame, column: str) -> DataFrame:
-    """One row with an array: the share of bad texts, and each rule's rate of bad votes on bad texts, then on good ones."""
-    j = len(RULES)
+    """One row with an array: the shares of good texts and of each kind of bad ones, then their rates of bad votes by rule."""
     patterns = voted.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).cast("double").alias("n"))
-    row = patterns.agg(F.collect_list(F.struct("v", "n")).alias("ps"))
-    first = f"array({PRIOR_BAD}D" + f", {BAD_ON_BAD}D" * j + f", {BAD_ON_GOOD}D" * j + ")"
-    # sums over patterns: weight of bad, weight of all, then for each rule: bad votes on bad, votes on bad, bad votes on good, votes on good
-    post = f"(1 / (1 + exp(-{_log_odds('p.v', 's')})))"
+    row = patterns.agg(F.sort_array(F.collect_list(F.struct("v", "n"))).alias("ps"))  # 3 ** 12 at most
+    guess = [ON_GOOD] * _J + [WITHIN if r in t else BEYOND for t in THEMES for r in RULES]
+    shares = [1 - _K * KIND] + [KIND] * _K
+    first = "array(" + ", ".join(f"{x}D" for x in shares + guess) + ")"
+    # sums for each class: its weight, then for each rule its bad votes and all its votes
+    width = 1 + 2 * _J
     add = (
-        f"(a, p) -> transform(array({post}), r -> zip_with(a, concat(array(p.n * r, p.n), flatten(transform(p.v, v -> array("
-        "case when v = -1 then p.n * r else 0D end, case when v != 0 then p.n * r else 0D end, "
-        "case when v = -1 then p.n * (1 - r) else 0D end, case when v != 0 then p.n * (1 - r) else 0D end)))), (x, y) -> x + y))[0]"
+        f"(a, p) -> transform(array({_posterior('p.v', 's')}), post -> zip_with(a, flatten(transform(post, r -> concat(array(p.n * r), "
+        "flatten(transform(p.v, v -> array(case when v = -1 then p.n * r else 0D end, case when v != 0 then p.n * r else 0D end)))))), (x, y) -> x + y))[0]"
     )
-    sums = f"aggregate(ps, array_repeat(0D, {2 + 4 * j}), {add})"
-    rate = lambda at, guess, most=0.9999: f"transform(sequence(0, {j - 1}), j -> least({most}D, greatest(0.0001D, (c[2 + 4 * j + {at}] + {PSEUDO * guess}D) / (c[3 + 4 * j + {at}] + {PSEUDO}D))))"
-    step = f"(s, i) -> transform(array({sums}), c -> concat(array(least(0.9D, (c[0] + {PSEUDO * PRIOR_BAD}D) / (c[1] + {PSEUDO}D))), {rate(0, BAD_ON_BAD)}, {rate(2, BAD_ON_GOOD, MOST_BAD_ON_GOOD)}))[0]"
+    sums = f"aggregate(ps, array_repeat(0D, {width * (_K + 1)}), {add})"
+    total = " + ".join(f"c[{width * k}]" for k in range(_K + 1))
+    new_shares = [f"(c[{width * k}] + {PSEUDO * x}D) / ({total} + {PSEUDO}D)" for k, x in enumerate(shares)]
+
+    def rate(k: int, rules: list[int], start: float) -> str:
+        hit, said = (" + ".join(f"c[{width * k + 1 + 2 * j + at}]" for j in rules) for at in (0, 1))
+        return f"({hit} + {PSEUDO * start}D) / ({said} + {PSEUDO}D)"
+
+    good = [rate(0, [j], ON_GOOD) for j in range(_J)]
+    rates = list(good)
+    for k, theme in enumerate(THEMES, 1):
+        own = [j for j, r in enumerate(RULES) if r in theme]
+        other = [j for j in range(_J) if j not in own]
+        each = {j: rate(k, [j], WITHIN) for j in own}
+        full = "(" + " + ".join(each.values()) + ")"
+        raised = {j: f"{x} + (1 - {x}) * greatest(0D, ({BROKEN}D - {full}) / ({len(own)} - {full}))" for j, x in each.items()}
+        rates += [f"greatest({raised[j] if j in own else rate(k, other, BEYOND)}, {good[j]})" for j in range(_J)]
+    new = ", ".join([*new_shares, *(f"least(0.9999D, greatest(0.0001D, {x}))" for x in rates)])
+    step = f"(s, i) -> transform(array({sums}), c -> array({new}))[0]"
     return row.select(F.expr(f"aggregate(sequence(1, {ITERATIONS}), {first}, {step})").alias("state"))
 
 
@@ -126,7 +165,7 @@ def judged(featured: DataFrame, into: str = "_q") -> DataFrame:
     voted = featured.withColumn(v, votes(into))
     state = em_parameters(voted, v).scalar()
     with_state = voted.withColumn(f"{into}_s", state)
-    good = F.expr(f"1 / (1 + exp({_log_odds(v, into + '_s')}))")
+    good = F.expr(f"{_posterior(v, into + '_s')}[0]")
     out = with_state.withColumn(f"{into}_g", good).drop(f"{into}_s")
     failed = F.expr(BASE_FAILED.format(f=into))
     return out.withColumn(v, F.struct(F.col(v).alias("votes"), F.col(f"{into}_g").alias("good_probability"), failed.alias("base_failed"), (~failed & (F.col(f"{into}_g") >= KEEP_AT)).alias("kept"))).drop(f"{into}_g")
@@ -143,24 +182,42 @@ def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     featured = materialize(with_features(docs).drop("text"), "rules")
-    return judged(featured).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q_v.base_failed", "_q_v.kept")
+    return judged(featured).select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", "_q.n_dup_lines", "_q.n_repeat_words", "_q_v.base_failed", "_q_v.kept", (F.col("_q_v.good_probability") >= KEEP_AT).alias("voted_good"))
+
+
+#: The votes again, by ratios of unnested counts; the EM by joins and groups over (pattern, rule, vote).
+_SQL_VOTES = """
+  ('length', case when n_words < 20 then -1 when n_words >= 40 then 1 else 0 end),
+  ('symbols', case when n_symbols > 0.1 * n_words then -1 when n_symbols <= 0.02 * n_words then 1 else 0 end),
+  ('symbol_words', case when n_sw > 0.2 * n_words then -1 when n_sw <= 0.02 * n_words then 1 else 0 end),
+  ('bare_words', case when n_bare > 0.1 * n_words then -1 when n_bare <= 0.02 * n_words then 1 else 0 end),
+  ('letters', case when n_letters < 0.75 * word_chars then -1 when n_letters >= 0.88 * word_chars then 1 else 0 end),
+  ('dup_lines', case when n_dup_lines > 2 and n_dup_lines > 0.3 * n_lines then -1 when n_lines > 1 and n_dup_lines <= 0.05 * n_lines then 1 else 0 end),
+  ('repeats', case when n_repeat_words > 0.3 * n_words then -1 when n_repeat_words <= 0.1 * n_words then 1 else 0 end),
+  ('pairs', case when n_pairs > 0.45 * n_words then -1 when n_pairs <= 0.3 * n_words then 1 else 0 end),
+  ('adjacent', case when n_adjacent > 0.2 * n_words then -1 when n_adjacent <= 0.05 * n_words then 1 else 0 end),
+  ('capitals', case when n_capitals > 0.4 * word_chars then -1 when n_capitals <= 0.2 * word_chars then 1 else 0 end),
+  ('exclaims', case when n_exclaims > 0.25 * n_words then -1 when n_exclaims <= 0.02 * n_words then 1 else 0 end),
+  ('word_size', case when word_chars > 25 * n_words or word_chars < 2 * n_words then -1 when word_chars between 3 * n_words and 12 * n_words then 1 else 0 end)"""
 
 
 def _sql() -> str:
-    j = range(len(RULES))
-    case = "\n, ".join("case when {b} then -1 when {g} then 1 else 0 end as v{i}".format(i=i, b=VOTES[r][0].format(f="c"), g=VOTES[r][1].format(f="c")) for i, r in enumerate(RULES))
-    odds = lambda s: f"ln({s}.pi / (1 - {s}.pi))" + "".join(f" + case p.v{i} when -1 then ln({s}.a{i} / {s}.b{i}) when 1 then ln((1 - {s}.a{i}) / (1 - {s}.b{i})) else 0 end" for i in j)
-    rate = lambda i, w, guess, most=0.9999: f"least({most}, greatest(0.0001, (sum(case when v{i} = -1 then n * {w} else 0 end) + {PSEUDO * guess}::double) / (sum(case when v{i} != 0 then n * {w} else 0 end) + {PSEUDO}::double)))"
-    steps = [f"s0 as materialized (select {PRIOR_BAD}::double as pi, " + ", ".join(f"{BAD_ON_BAD}::double as a{i}, {BAD_ON_GOOD}::double as b{i}" for i in j) + ")"]
-    for k in range(ITERATIONS):
-        steps.append(
-            f"s{k + 1} as materialized (select least(0.9, (coalesce(sum(n * r), 0) + {PSEUDO * PRIOR_BAD}::double) / (coalesce(sum(n), 0) + {PSEUDO}::double)) as pi, "
-            + ", ".join(f"{rate(i, 'r', BAD_ON_BAD)} as a{i}, {rate(i, '(1 - r)', BAD_ON_GOOD, MOST_BAD_ON_GOOD)} as b{i}" for i in j)
-            + f" from (select p.*, 1 / (1 + exp(-({odds('s')}))) as r from pattern p, s{k} s))"
-        )
-    words = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+    start = f"case when c = 0 then {ON_GOOD} when inside then {WITHIN} else {BEYOND} end"
+    steps = [
+        f"""r{i + 1} as materialized (select pid, c, n, exp(l - max(l) over w) / sum(exp(l - max_l)) over w as p from (select *, max(l) over (partition by pid) as max_l from
+  (select pid, c, any_value(n) as n, any_value(ln(share)) + sum(case vote when -1 then ln(rate) when 1 then ln(1 - rate) else 0 end) as l from pv join s{i} using (rule) group by pid, c)) window w as (partition by pid)),
+t{i + 1} as materialized (select c, rule, any_value(inside) as inside, any_value(share0) as share0, coalesce(sum(n * p) filter (vote = -1), 0) as hit, coalesce(sum(n * p) filter (vote <> 0), 0) as said, sum(n * p) as w
+  from s{i} join (select pid, rule, vote from pv) using (rule) join r{i + 1} using (pid, c) group by c, rule),
+g{i + 1} as (select rule, (hit + {PSEUDO * ON_GOOD}) / (said + {PSEUDO}) as b from t{i + 1} where c = 0),
+s{i + 1} as materialized (select c, rule, inside, share0, (w + {PSEUDO} * share0) / ((select sum(n) from counted) + {PSEUDO}) as share,
+  least(0.9999, greatest(0.0001, case when c = 0 then b when inside then greatest(b, x + (1 - x) * greatest(0, ({BROKEN} - all_x) / (k - all_x))) else greatest(b, tied) end)) as rate
+  from (select *, (hit + {PSEUDO * WITHIN}) / (said + {PSEUDO}) as x, sum(x) over g as all_x, count(*) over g as k, (sum(hit) over g + {PSEUDO * BEYOND}) / (sum(said) over g + {PSEUDO}) as tied
+    from t{i + 1} window g as (partition by c, inside)) join g{i + 1} using (rule))"""
+        for i in range(ITERATIONS)
+    ]
+    themes = ", ".join(f"({k}, '{r}', {str(r in t).lower()})" for k, t in enumerate(((), *THEMES)) for r in RULES)
     return rf"""
-with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as t, {words} as w,
+with d as materialized (select row_number() over () as rid, doc_id, coalesce(text, '') as t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from documents),
 win as (select rid, i, array_to_string(w[i : i + 7], ' ') as s from (select rid, w, unnest(range(1, len(w) - 6)) as i from d where len(w) >= 8)),
 twice as (select rid, i from (select rid, i, count(*) over (partition by rid, s) as c from win) where c > 1),
@@ -168,13 +225,20 @@ rep as (select rid, count(*) as n from (select distinct rid, unnest(range(i, i +
 c as materialized (select d.rid, doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars,
     length(t) - length(translate(t, '#*$%&|<>', '')) as n_symbols, len(ls) as n_lines, len(ls) - len(list_distinct(ls)) as n_dup_lines,
     coalesce(rep.n, 0) as n_repeat_words, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) as n_adjacent, length(t) - length(translate(t, '{_CAPITALS}', '')) as n_capitals,
-    length(t) - length(translate(t, '!', '')) as n_exclaims from d left join rep using (rid)),
-voted as materialized (select *, {case} from c),
-pattern as materialized (select {", ".join(f"v{i}" for i in j)}, count(*)::double as n from voted group by all),
-{", ".join(steps)}
+    length(t) - length(translate(t, '!', '')) as n_exclaims, greatest(len(w) - 1, 0) - len(list_distinct(list_transform(range(2, len(w) + 1), lambda i: w[i - 1] || ' ' || w[i]))) as n_pairs,
+    len(list_filter(w, lambda x: regexp_matches(x, '[#*$%&|<>{{}}^~=\\]'))) as n_sw, len(list_filter(w, lambda x: not regexp_matches(x, '[\p{{L}}\p{{M}}\p{{N}}]'))) as n_bare,
+    length(t) - length(regexp_replace(t, '[\p{{L}}\p{{M}}\p{{N}}]+', '', 'g')) as n_letters from d left join rep using (rid)),
+voted as materialized (select rid, unnest(map_entries(map_from_entries([{_SQL_VOTES}]))) as v from c),
+signed as materialized (select rid, string_agg(v.value, ',' order by v.key) as pid from voted group by rid),
+counted as (select pid, count(*) as n, min(rid) as rid from signed group by pid),
+pv as materialized (select pid, n, v.key as rule, v.value as vote from counted join voted using (rid)),
+s0 as materialized (select c, rule, inside, case when c = 0 then 1 - {_K * KIND} else {KIND} end as share0, share0 as share, {start} as rate from (values {themes}) x(c, rule, inside)),
+{", ".join(steps)},
+last as (select pid, c, any_value(ln(share)) + sum(case vote when -1 then ln(rate) when 1 then ln(1 - rate) else 0 end) as l from pv join s{ITERATIONS} using (rule) group by pid, c),
+final as (select pid, sum(exp(l - m)) filter (c = 0) / sum(exp(l - m)) as good from (select *, max(l) over (partition by pid) as m from last) group by pid)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines, n_repeat_words::bigint as n_repeat_words,
-  {BASE_FAILED.format(f="p")} as base_failed, not {BASE_FAILED.format(f="p")} and 1 / (1 + exp({odds("s")})) >= {KEEP_AT} as kept
-from voted p, s{ITERATIONS} s"""
+  n_words < 20 or n_repeat_words > 0.3 * n_words as base_failed, not (n_words < 20 or n_repeat_words > 0.3 * n_words) and good >= 0.5 as kept, good >= 0.5 as voted_good
+from c join signed using (rid) join final using (pid)"""
 
 
 SQL = _sql()
