@@ -78,14 +78,14 @@ def dense(blob: bytes, size: int) -> np.ndarray:
     return out
 
 
-def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge: float = 1e-3, steps: int = 120) -> tuple[np.ndarray, float]:
+def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge: float = 1e-3, steps: int = 120, gain: np.ndarray | float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear model by accelerated gradient steps.
 
-    ``x`` is changed. loss "svm": squared hinge, y in -1 and 1; "logistic": y is the probability of 1. Features are scaled by their deviation, and the scale is
-    part of the result's weights.
+    ``x`` is changed. loss "svm": squared hinge, y in -1 and 1; "logistic": y is the probability of 1. Features are scaled by their deviation and ``gain``, and the
+    scale is part of the result's weights.
     """
     mean = x.mean(0, dtype=np.float64)
-    scale = 1.0 / (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean**2, 0.0)) + 1e-4)
+    scale = gain / (np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x) / len(x) - mean**2, 0.0)) + 1e-4)
     x -= mean.astype(np.float32)  # in place: one copy of the sample is in memory
     x *= scale.astype(np.float32)
     p = weight / weight.sum()

@@ -1,8 +1,10 @@
 """Operator 5, a quality classifier from weak labels.
 
-Eight overlapping heuristic labellers call a text good, bad or abstain. Expectation-maximisation over the counts of their vote patterns
-estimates how often each calls bad on bad and on good texts; the posterior of a pattern is a soft label. A logistic scorer over hashed byte
-n-grams and bucketed text measures learns these labels and scores every text; texts below KEEP_AT are rejected.
+Twelve overlapping heuristic labellers call a text good, bad or abstain. Expectation-maximisation over the counts of their vote patterns
+estimates the rates of bad votes on good texts, one for each labeller and free, and on the kinds of bad texts: a kind has a share of all texts,
+a rate for each labeller of its theme (on average at least BROKEN of them call a text of the kind bad) and one rate for the others; a bad vote
+never speaks for good. So labellers that agree decide, and one that often is alone loses its say. The posterior of a pattern is a soft label.
+A logistic scorer over hashed byte n-grams and bucketed text measures learns these labels and scores every text; texts below KEEP_AT are rejected.
 
 Pattern counts cover all rows. The scorer alone learns from a sample: of texts with and without a bad vote about SAMPLE each at most,
 weighted back to their shares. A row's lot comes from its text, the columns ``carry`` and its number among rows equal in these, so blank texts and
@@ -26,22 +28,29 @@ from skyloom.llm.scratch import materialize
 from skyloom.llm.textops import Words, mix, raw, segment_sum, slices
 from skyloom.shipping import ship
 
-LABELLERS = ("short", "symbols", "exclaims", "capitals", "same_word_again", "few_distinct", "odd_words", "same_line_again")
-SAMPLE, KEEP_AT, ITERATIONS = 3000, 0.3, 40
+LABELLERS = ("short", "symbols", "exclaims", "capitals", "same_word_again", "few_distinct", "odd_words", "same_line_again", "symbol_words", "bare_words", "no_letters", "few_words")
+SAMPLE, KEEP_AT, ITERATIONS = 3000, 0.5, 40
 #: The n-gram shares of a text of this many bytes weigh half as much as those of a long one, since they are noisy in short texts.
 HALF = 200
-PRIOR_BAD, BAD_ON_BAD, BAD_ON_GOOD, PSEUDO = 0.1, 0.35, 0.001, 20.0
-#: A labeller's rate of bad votes on good texts is estimated up to this bound, else EM explains votes that no other shares as noise.
-MOST_BAD_ON_GOOD = 0.002
+THEMES = (("short", "odd_words"), ("symbols", "symbol_words", "bare_words", "no_letters"), ("same_word_again", "few_distinct", "same_line_again", "few_words"), ("exclaims", "capitals"))
+#: First guesses: share of each kind of bad texts, rates of bad votes within a kind's theme, beyond it and on good texts; pseudo-counts for them.
+KIND, WITHIN, BEYOND, ON_GOOD, PSEUDO = 0.025, 0.6, 0.05, 0.01, 20.0
+BROKEN = 1.5
 BUCKETS = 12
+#: What each of the thousands of n-gram shares weighs against a bucket of a measure, so that they don't drown these.
+GRAM_GAIN = 0.2
+_GAIN = np.concatenate([np.full(SHORT, GRAM_GAIN), np.ones(len(LABELLERS) * BUCKETS)])
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[list(b"#*$%&|<>{}~^\\=_")] = 1
 _CLASS[list(b"!")] = 2
 _CLASS[65:91] = 3
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def measures(column: pa.Array) -> np.ndarray:
-    """texts x labellers: word count, then ratios that are large in bad texts (few_distinct: repeated share; odd_words: mean word length)."""
+    """texts x labellers: word count, then ratios that are large in bad texts (few_distinct: repeated share of pairs; odd_words: mean word length; few_words: root of
+    the word count by distinct words, neither good nor bad below 30 words)."""
     data, offsets = raw(column)
     w = Words(column, Words.SPACE)
     n = len(column)
@@ -57,6 +66,11 @@ def measures(column: pa.Array) -> np.ndarray:
     again[w.first[:-1][w.first[:-1] < len(again)]] = False
     out[:, 4] = segment_sum(again.astype(np.int64), w.first) / some
     out[:, 6] = size / some
+    if len(w.starts):
+        out[:, 8] = segment_sum((np.maximum.reduceat((kind == 1).astype(np.int8), w.starts) > 0).astype(np.int64), w.first) / some
+        letters = np.add.reduceat(_LETTER[data].astype(np.int64), w.starts)
+        out[:, 9] = segment_sum((letters == 0).astype(np.int64), w.first) / some
+        out[:, 10] = np.where(words > 0, 1 - segment_sum(letters, w.first) / np.maximum(size, 1), 0)
     lines = np.flatnonzero(data == 10)
     cut = np.searchsorted(lines, offsets)
     blob = data.tobytes()
@@ -66,6 +80,7 @@ def measures(column: pa.Array) -> np.ndarray:
         h = w.hash[a:b]
         pairs = h[:-1] * np.uint64(3) + h[1:]
         out[i, 5] = 1 - len(np.unique(pairs)) / len(pairs) if len(pairs) else 0
+        out[i, 11] = (b - a) ** 0.5 / len(np.unique(h)) if b - a >= 30 else 0.35
         if cut[i + 1] > cut[i]:
             ls = [x for x in blob[offsets[i] : offsets[i + 1]].split(b"\n") if x.strip()]
             again_ = len(ls) - len(set(ls))
@@ -74,7 +89,7 @@ def measures(column: pa.Array) -> np.ndarray:
 
 
 #: From a labeller's measure: bad above the first value, good up to the second, else it abstains. Word count and length are special.
-LIMITS = {"symbols": (0.15, 0.03), "exclaims": (0.25, 0.03), "capitals": (0.4, 0.2), "same_word_again": (0.2, 0.05), "few_distinct": (0.75, 0.5), "same_line_again": (0.3, 0.05)}
+LIMITS = {"symbols": (0.15, 0.03), "exclaims": (0.25, 0.03), "capitals": (0.4, 0.2), "same_word_again": (0.2, 0.05), "few_distinct": (0.45, 0.3), "same_line_again": (0.3, 0.05), "symbol_words": (0.2, 0.02), "bare_words": (0.1, 0.02), "no_letters": (0.25, 0.12), "few_words": (0.5, 0.25)}
 
 
 def votes(m: np.ndarray) -> np.ndarray:
@@ -102,23 +117,35 @@ def unpattern(p: np.ndarray) -> np.ndarray:
 
 
 class Labels:
-    """Posterior probabilities of good, by EM over counts of vote patterns."""
+    """Posterior probabilities of good, by EM over counts of vote patterns. share: of good texts, then of each kind; rate: kinds x labellers."""
 
     def __init__(self, patterns: np.ndarray, counts: np.ndarray):
         v, n = unpattern(patterns), counts.astype(float)
-        j = len(LABELLERS)
-        self.bad, self.on_bad, self.on_good = PRIOR_BAD, np.full(j, BAD_ON_BAD), np.full(j, BAD_ON_GOOD)
+        theme = np.array([[x in t for x in LABELLERS] for t in THEMES])
+        k = len(THEMES)
+        self.share = np.array([1 - k * KIND] + [KIND] * k)
+        guess = np.concatenate([np.full((1, len(LABELLERS)), ON_GOOD), np.where(theme, WITHIN, BEYOND)])
+        first, self.rate = self.share, guess
         for _ in range(ITERATIONS if len(n) else 0):
-            r = 1 - self.good(v)
-            total = lambda w, of: (of * (n * w)[:, None]).sum(0)  # noqa: E731, B023
-            self.on_bad = np.clip((total(r, v == -1) + PSEUDO * BAD_ON_BAD) / (total(r, v != 0) + PSEUDO), 1e-4, 1 - 1e-4)
-            self.on_good = np.clip((total(1 - r, v == -1) + PSEUDO * BAD_ON_GOOD) / (total(1 - r, v != 0) + PSEUDO), 1e-4, MOST_BAD_ON_GOOD)
-            self.bad = min(0.9, ((n * r).sum() + PSEUDO * PRIOR_BAD) / (n.sum() + PSEUDO))
+            w = n[:, None] * self.posterior(v)
+            self.share = (w.sum(0) + PSEUDO * first) / (n.sum() + PSEUDO)
+            hit, said = w.T @ (v == -1), w.T @ (v != 0)
+            rate = (hit + PSEUDO * guess) / (said + PSEUDO)
+            for i, own in enumerate(theme, 1):
+                full = rate[i, own].sum()
+                rate[i, own] += (1 - rate[i, own]) * max(0.0, (BROKEN - full) / (own.sum() - full))
+                rate[i, ~own] = (hit[i, ~own].sum() + PSEUDO * BEYOND) / (said[i, ~own].sum() + PSEUDO)
+                rate[i] = np.maximum(rate[i], rate[0])
+            self.rate = np.clip(rate, 1e-4, 1 - 1e-4)
+
+    def posterior(self, v: np.ndarray) -> np.ndarray:
+        """patterns x (good, then each kind of bad)."""
+        x = np.log(self.share) + (v == -1) @ np.log(self.rate).T + (v == 1) @ np.log(1 - self.rate).T
+        x = np.exp(x - x.max(1, keepdims=True))
+        return x / x.sum(1, keepdims=True)
 
     def good(self, v: np.ndarray) -> np.ndarray:
-        a, b = self.on_bad, self.on_good
-        odds = np.log(self.bad / (1 - self.bad)) + ((v == -1) * np.log(a / b) + (v == 1) * np.log((1 - a) / (1 - b))).sum(1)
-        return 1 / (1 + np.exp(np.clip(odds, -50, 50)))
+        return self.posterior(v)[:, 0]
 
 
 def buckets(m: np.ndarray) -> np.ndarray:
@@ -213,7 +240,7 @@ def learned(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ()) ->
     for i, k in enumerate(wanted.tolist()):
         x[i] = dense(bytes(got[k]), size)
     weight = np.where((v == -1).any(1), 1 / share[True], 1 / share[False]) * np.array([lots[k].times for k in wanted.tolist()])
-    return labels, Scorer(*fitted(x, labels.good(v), weight / weight.mean(), "logistic", 1e-4, 200))
+    return labels, Scorer(*fitted(x, labels.good(v), weight / weight.mean(), "logistic", 1e-4, 200, _GAIN))
 
 
 def judged(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -55,6 +55,106 @@ def test_held_out_accuracy(spark):
     assert {r.doc_id for r in rules} == {i for i, q in truth.items() if q}
 
 
+def plain_em(op, names, patterns):
+    """Counts by vote pattern -> shares of good and of each kind of bad, and rates of bad votes; loops over patterns, kinds and rules."""
+    rules, kinds = range(len(names)), range(len(op.THEMES) + 1)
+    inside = [[k > 0 and names[j] in op.THEMES[k - 1] for j in rules] for k in kinds]
+    start = [[op.ON_GOOD if k == 0 else op.WITHIN if inside[k][j] else op.BEYOND for j in rules] for k in kinds]
+    first = [1 - op.KIND * len(op.THEMES)] + [op.KIND] * len(op.THEMES)
+    share, rate = first, start
+    n = sum(patterns.values())
+    for _ in range(op.ITERATIONS):
+        post = {}
+        for v in patterns:
+            p = []
+            for k in kinds:
+                x = share[k]
+                for j in rules:
+                    x *= rate[k][j] if v[j] < 0 else 1 - rate[k][j] if v[j] > 0 else 1
+                p.append(x)
+            post[v] = [x / sum(p) for x in p]
+        weight = lambda k, js, of: sum(c * post[v][k] for v, c in patterns.items() for j in js if of(v[j]))  # noqa: E731, B023
+        share = [(sum(c * post[v][k] for v, c in patterns.items()) + op.PSEUDO * first[k]) / (n + op.PSEUDO) for k in kinds]
+        new = []
+        for k in kinds:
+            row = []
+            for j in rules:
+                js = [j] if k == 0 or inside[k][j] else [i for i in rules if not inside[k][i]]
+                row.append((weight(k, js, lambda y: y < 0) + op.PSEUDO * start[k][j]) / (weight(k, js, lambda y: y != 0) + op.PSEUDO))
+            if k:
+                own = [x for j, x in enumerate(row) if inside[k][j]]
+                lift = max(0, (op.BROKEN - sum(own)) / (len(own) - sum(own)))
+                row = [max(new_good[j], x + (1 - x) * lift * inside[k][j]) for j, x in enumerate(row)]
+            if k == 0:
+                new_good = row
+            new.append([min(0.9999, max(0.0001, x)) for x in row])
+        rate = new
+    return share, rate
+
+
+def some_patterns(rules, seed):
+    rng = np.random.default_rng(seed)
+    bad = rng.random(400) < 0.3
+    v = np.where(rng.random((400, rules)) < np.where(bad[:, None], 0.5, 0.03), -1, 1) * (rng.random((400, rules)) < 0.8)
+    counts = {}
+    for row in v.tolist():
+        counts[tuple(row)] = counts.get(tuple(row), 0) + 1
+    return counts
+
+
+def test_em_of_the_rules_against_plain_loops(spark):
+    q = quality_rules
+    counts = some_patterns(len(q.RULES), 1)
+    df = spark.createDataFrame([(list(v),) for v, n in counts.items() for _ in range(n)], "v array<int>").repartition(5)
+    state = q.em_parameters(df, "v").first().state
+    share, rate = plain_em(q, q.RULES, counts)
+    assert np.allclose(state, share + sum(rate, []), atol=1e-9) and max(rate[0]) > 0.01
+    assert q.em_parameters(df.repartition(2), "v").first().state == state  # whatever the tasks
+
+
+def test_em_of_the_classifier_against_plain_loops():
+    q = quality_classifier
+    counts = some_patterns(len(q.LABELLERS), 2)
+    v = np.array(list(counts))
+    labels = q.Labels(q.pattern(v), np.array(list(counts.values())))
+    share, rate = plain_em(q, q.LABELLERS, counts)
+    assert np.allclose(labels.share, share, atol=1e-9) and np.allclose(labels.rate, rate, atol=1e-9)
+    assert (q.unpattern(q.pattern(v)) == v).all()
+
+
+def test_measures_against_brute_force(odd):
+    import pyarrow as pa
+
+    texts = [r.text for r in odd.collect()]
+    got = quality_classifier.measures(pa.array(texts, pa.string()))
+    for text, m in zip(texts, got, strict=True):
+        t = (text or "").encode()
+        w = re.findall(rb"[^\x20\x09-\x0D]+", t)
+        low = [x.lower() for x in w]
+        n, size = max(1, len(w)), max(1, sum(map(len, w)))
+        pairs = list(zip(low, low[1:]))
+        lines = [x for x in t.split(b"\n") if x.strip()] if b"\n" in t else []
+        again = len(lines) - len(set(lines))
+        special, letters = rb"[#*$%&|<>{}~^\\=_]", rb"[0-9A-Za-z\x80-\xff]"
+        want = [len(w), len(re.findall(special, t)) / n, t.count(b"!") / n, len(re.findall(rb"[A-Z]", t)) / size, sum(a == b for a, b in pairs) / n, 1 - len(set(pairs)) / len(pairs) if pairs else 0, sum(map(len, w)) / n]
+        want += [again / len(lines) if again >= 3 else 0, sum(bool(re.search(special, x)) for x in w) / n, sum(not re.search(letters, x) for x in w) / n, 1 - sum(len(re.findall(letters, x)) for x in w) / size if w else 0, len(w) ** 0.5 / len(set(low)) if len(w) >= 30 else 0.35]
+        assert np.allclose(m, want), (text or "")[:50]
+
+
+def test_a_rule_that_is_alone_is_outvoted(spark):
+    """A fifth of the good texts has exclamation marks all over: one bad vote each, which all-must-pass would drop."""
+    docs = corpus(spark, 45)
+    loud = docs.filter("quality = 1 and doc_id % 5 = 0").selectExpr("doc_id", "regexp_replace(text, '([a-z]+ [a-z]+) ', '$1! ') as text", "quality")
+    docs = loud.unionAll(docs.filter("not (quality = 1 and doc_id % 5 = 0)"))
+    f = quality_rules.with_features(docs)
+    rows = quality_rules.judged(f).select("doc_id", "quality", "_q_v.*").collect()
+    alone = [r for r in rows if r.quality and -1 in r.votes]
+    assert len(alone) >= 50 and all(r.kept for r in alone)
+    assert {r.doc_id for r in rows if r.kept} == {r.doc_id for r in rows if r.quality}
+    got = {r.doc_id: r for r in quality_classifier.judged(docs).collect()}
+    assert sum(got[r.doc_id].n_bad_votes > 0 for r in alone) >= 50 and np.mean([got[r.doc_id].kept == bool(r.quality) for r in rows]) > 0.98
+
+
 def test_clean_corpus_stays(spark):
     docs = corpus(spark, 0)
     assert quality_classifier.keep_good(docs).count() == 300 and quality_rules.keep_good(docs).count() == 300
