@@ -1,7 +1,8 @@
 """Operator 8, byte-level BPE by tree reduction.
 
-The texts' regex matches are encoded separately. A match is encoded as a monoid: its halves recursively, then neighbours are joined by
-re-encoding a window over the boundary, which doubles until the tokens outside it can't change. The test for that is local and exact:
+The texts' regex matches are encoded separately. A match that is no token is encoded as a monoid: its halves recursively down to single bytes,
+then neighbours are joined by re-encoding a window over the boundary, which doubles until the tokens outside it can't change. Results of short
+nodes are kept, so that frequent syllables are joined once. The test of a window is local and exact:
 
     A row of tokens is the BPE encoding of its bytes if for every two neighbours (a, b) the encoding of bytes(a) + bytes(b) is (a, b).
 
@@ -9,7 +10,7 @@ Proof: merging always takes the lowest (rank, place). Take the first merge, in t
 between a and b. Up to there the merges inside a and b were the same, in the same order, as in the run over bytes(a) + bytes(b) alone,
 whose next merge is then that crossing one; but that run ends in (a, b). So no merge crosses, and each token is built from its own bytes.
 
-Decoding concatenates the tokens' bytes. Ranks are read on the driver and broadcast (their size is checked); a worker holds a bounded cache.
+Decoding concatenates the tokens' bytes up a tree of the same kind. Ranks are read on the driver and broadcast (their size is checked); a worker holds a bounded cache.
 
 Defined cases: null and empty texts have no tokens; equal rows get equal results; an empty table gives an empty result; the results carry
 the columns named by ``carry`` alone, so that other columns can't clash.
@@ -30,9 +31,12 @@ from pyspark.sql import DataFrame, SparkSession
 from skyloom.llm.textops import slices
 from skyloom.shipping import ship
 
-LEAF = 32
-#: Entries of a worker's caches, and the longest match that is kept in them.
-CACHE, CACHED_CHARS = 300_000, 48
+#: Up to this many bytes a window's merges are looked for in a list, beyond it in a heap.
+SHORT = 64
+#: Entries of a worker's caches, the longest match and the longest node in bytes that are kept in them.
+CACHE, CACHED_CHARS, CACHED_NODE = 300_000, 48, 8
+#: How many neighbours one step of decoding concatenates.
+FAN = 16
 #: Characters from which a text's matches are taken in portions.
 LONG = 1 << 20
 MOST_VOCABULARY_BYTES = 64 << 20
@@ -45,9 +49,11 @@ class Bpe:
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line.strip())}
         self.bytes = {i: b for b, i in self.rank.items()}
         self.known: dict[tuple[int, int], bool] = {}
+        self.singles = {b: [i] for b, i in self.rank.items() if len(b) == 1}
+        self.nodes = dict(self.singles)
 
-    def leaf(self, piece: bytes) -> list[int]:
-        """Merges by the definition, for short pieces."""
+    def merged(self, piece: bytes) -> list[int]:
+        """Merges by the definition, for short windows."""
         rank = self.rank
         parts = [piece[i : i + 1] for i in range(len(piece))]
         pairs = [rank.get(parts[i] + parts[i + 1], 1 << 60) for i in range(len(parts) - 1)]
@@ -96,7 +102,7 @@ class Bpe:
         return out
 
     def window(self, piece: bytes) -> list[int]:
-        return self.leaf(piece) if len(piece) <= 2 * LEAF else self.heap(piece)
+        return self.merged(piece) if len(piece) <= SHORT else self.heap(piece)
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the neighbours a and b stay apart; with it, whatever stands beyond them does not matter."""
@@ -119,10 +125,14 @@ class Bpe:
             k *= 2
 
     def tree(self, piece: bytes) -> list[int]:
-        if len(piece) <= LEAF:
-            return self.leaf(piece)
-        half = len(piece) // 2
-        return self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+        if (got := self.nodes.get(piece)) is None:
+            half = len(piece) // 2
+            got = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
+            if len(piece) <= CACHED_NODE:
+                if len(self.nodes) >= CACHE:
+                    self.nodes = dict(self.singles)
+                self.nodes[piece] = got
+        return got
 
     def match(self, piece: str) -> list[int]:
         """One match of the pattern; a token of the vocabulary is itself."""
@@ -130,7 +140,10 @@ class Bpe:
         return [r] if (r := self.rank.get(b)) is not None else self.tree(b)
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+        parts = list(map(self.bytes.__getitem__, ids))
+        while len(parts) > 1:
+            parts = [b"".join(parts[i : i + FAN]) for i in range(0, len(parts), FAN)]
+        return parts[0] if parts else b""
 
 
 class Packed(dict):

@@ -34,6 +34,31 @@ def test_long_matches(text):
     assert ids(text) == REFERENCE.encode_ordinary(text)
 
 
+def test_real_matches_go_through_the_tree(monkeypatch):
+    """Every match that is no token of the vocabulary is built by joins, down to single bytes; decoding is a tree as well."""
+    bpe = op.Bpe.__new__(op.Bpe)
+    bpe.__dict__ |= {"rank": BPE.rank, "bytes": BPE.bytes, "known": {}, "singles": BPE.singles, "nodes": dict(BPE.singles)}
+    joined = []
+    real = op.Bpe.join
+    monkeypatch.setattr(op.Bpe, "join", lambda self, a, b: joined.append((len(a), len(b))) or real(self, a, b))
+    text = "Therhean thntblein unmistakably erhaanti. " * 3
+    got = np.frombuffer(op.encode_text(text, op.Packed(bpe), FOUND), "<u4").tolist()
+    assert got == REFERENCE.encode_ordinary(text)
+    long = [m for m in dict.fromkeys(FOUND.findall(text)) if m.encode() not in bpe.rank]
+    assert len(long) >= 3 and len(joined) >= sum(len(m) for m in long) // 2 and (1, 1) in joined
+    assert all(bpe.nodes[m[: len(m) // 2].encode()] for m in long if 1 < len(m) // 2 <= op.CACHED_NODE)
+
+
+@pytest.mark.parametrize("text", ["abcde fghij klmno", "unmistakably", "ñandú" * 40, "ab" * 300])
+def test_any_split_joins_to_the_same_tokens(text):
+    """The join is associative: whatever the place where a match is cut, its parts join to the tokens of the whole."""
+    for piece in FOUND.findall(text):
+        b = piece.encode()
+        want = BPE.heap(b)
+        for cut in range(1, len(b)):
+            assert BPE.join(BPE.heap(b[:cut]), BPE.heap(b[cut:])) == want
+
+
 def test_portions(monkeypatch):
     text = "some words, and more words. " * 200
     whole = ids(text)
