@@ -1,34 +1,41 @@
 """Operator 10, resharding by a minimum-cost flow.
 
-Old shards are cut into blocks by a hash of the id; their sizes (BLOCKS rows, whatever the data's size) come to the driver. A flow network sends
-bytes from old shards to new ones of equal capacity; a byte that stays in the shard of its number costs nothing, one that moves costs 1,
-so the solution moves the fewest bytes. Each old shard's flows are then filled with its blocks, largest first, what one rounding leaves over
-being passed to the next. Only files with moved rows are rewritten where the input is a layout of ours (reshard_layout).
+A layout is a folder with one subfolder of Parquet files a shard; a row's slot is its position: the rows of the shard's files before its own, in
+the order of their names, and its place within its file. To change a layout, its rows are cut into blocks by a hash of file and place, so that
+repeated or null ids spread like any others; the blocks' sizes (about BLOCKS rows, whatever the data's size) come to the driver. A flow network
+sends bytes from old shards to new ones of equal capacity; a byte that stays in the shard of its number costs nothing, one that moves costs 1,
+so the solution moves the fewest bytes. Old shards without a new shard of their number have equal costs everywhere and are one source,
+which changes no cost, so the network grows with the new shards alone. Each old shard's flows are then filled with its blocks, largest first,
+what one rounding leaves over being passed to the next.
+
+Only files of shards that give rows away are rewritten: what stays is copied without a shuffle, what moves is shuffled. A shard that
+only gets rows keeps its files and gets new ones.
 
 The law is ``bytes``: shards get near equal sizes, up to about a block of smallest size (a document larger than a shard stays alone in one).
 
-Defined cases: a null text has 0 bytes and crc32 0; a null id is hashed as such; repeated rows have slots of their own; an empty table gives an
-empty result; the layout adds the columns _shard and _slot and keeps all others
-(those with such a name as <name>_in).
+Defined cases: a null text has 0 bytes and crc32 0; repeated rows have slots of their own; an empty table gives an empty result; the layout adds
+the columns _shard and, when read, _slot and keeps all others (those with such a name as <name>_in).
 """
 
 from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from skyloom.llm.scratch import folder
-from skyloom.shipping import ship
+from skyloom.llm.scratch import folder, materialize
 
-SHARDS, BLOCKS, MOST_OLD = 40, 1 << 16, 512
-PIECE_BYTES = 8 << 20
+SHARDS, BLOCKS = 40, 1 << 16
+#: Bytes of moved text in a task of the shuffle, and the most tasks that it has (tasks grow beyond that).
+PIECE_BYTES, MOST_PIECES = 32 << 20, 1 << 15
 EXTRA = 16
+#: The old layout that the query writes: so many shards of uneven size, of so many pieces of the table's files at least.
+OLD, OLD_PIECES = 32, 256
+_OWN = ("_shard", "_slot", "_gen", "_file", "_at", "_block", "_to", "_metadata")
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.ndarray:
@@ -112,139 +119,109 @@ def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray) -> n
 
 
 class Plan:
-    """Where each block goes. blocks: (old shard, block, bytes, rows)."""
+    """Where each block of a numbered layout goes. blocks: (old shard, block, bytes, rows)."""
 
-    def __init__(self, blocks: list[tuple[int, int, int, int]], shards: int, numbered: bool = False):
+    def __init__(self, blocks: list[tuple[int, int, int, int]], shards: int):
         by_old: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for old, block, size, rows in sorted(blocks):
             by_old[old].append((size, block, rows))
-        olds = sorted(by_old)
-        total = {o: sum(x[0] for x in by_old[o]) for o in olds}
-        # shard k of a numbered layout is its new shard k; other old shards take numbers by size, as far as there are
-        self.own = {o: o for o in olds if o < shards} if numbered else {o: k for k, o in enumerate(sorted(olds, key=lambda o: (-total[o], o))[:shards])}
+        total = {o: sum(x[0] for x in by_old[o]) for o in sorted(by_old)}
+        # old shards beyond the new ones cost 1 everywhere, so they are one source
+        own, beyond = [o for o in total if o < shards], [o for o in total if o >= shards]
+        sources = [[o] for o in own] + ([beyond] if beyond else [])
         whole = sum(total.values())
         capacity = [whole * (k + 1) // shards - whole * k // shards for k in range(shards)]
-        cost = np.ones((len(olds), shards), int)
-        for i, o in enumerate(olds):
-            if o in self.own:
-                cost[i, self.own[o]] = 0
-        self.flow = min_cost_flow([total[o] for o in olds], capacity, cost)
+        cost = np.ones((len(sources), shards), int)
+        for i, o in enumerate(own):
+            cost[i, o] = 0
+        self.flow = min_cost_flow([sum(total[o] for o in s) for s in sources], capacity, cost)
+        self.least = int((self.flow * cost).sum())
         self.to: dict[tuple[int, int], int] = {}
-        self.rows = {(old, block): rows for old, block, _, rows in blocks}
         self.bytes = [0] * shards
         self.moved = 0
         over = [0] * shards
-        for i, o in enumerate(olds):
+        for i, members in enumerate(sources):
             need = [(-(int(self.flow[i, j]) + over[j]), j) for j in range(shards) if self.flow[i, j]]
             heapq.heapify(need)
-            for size, block, _ in sorted(by_old[o], reverse=True):
+            for size, o, block in sorted(((size, o, block) for o in members for size, block, _ in by_old[o]), reverse=True):
                 want, j = need[0]
                 heapq.heapreplace(need, (want + size, j))
                 self.to[o, block] = j
                 self.bytes[j] += size
-                self.moved += size * (self.own.get(o) != j)
+                self.moved += size * (o != j)
             for want, j in need:
                 over[j] = -want
-
-
-def _hashed(column: str | Column, n: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(column, F.lit(seed)), F.lit(n)).cast("int")
+        self.giving = sorted({o for (o, _), s in self.to.items() if s != o})
 
 
 def size_of(text: str) -> Column:
     return F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)).cast("long") + EXTRA
 
 
-def planned(docs: DataFrame, old: Column, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id", blocks: int = BLOCKS, numbered: bool = False) -> tuple[DataFrame, Plan]:
-    """``docs`` with _old and _block, and the plan for them; ``old`` numbers at most MOST_OLD old shards."""
-    own = ("_old", "_block", "_piece", "_slot", *([] if numbered else ["_shard"]))
-    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c in own})
-    n_old = max(1, docs.select(old.alias("o")).distinct().count())
-    if n_old > MOST_OLD:
-        raise ValueError(f"{n_old} old shards: the network is meant for {MOST_OLD} at most; join old shards first")
-    cut = docs.withColumn("_old", old).withColumn("_block", _hashed(F.col(f"`{doc_id}`"), max(1, blocks // n_old), 10))
-    sums = cut.groupBy("_old", "_block").agg(F.sum(size_of(text)).alias("b"), F.count(F.lit(1)).alias("n"))
-    return cut, Plan([(r._old, r._block, r.b, r.n) for r in sums.collect()], shards, numbered)  # BLOCKS rows at most
-
-
-def write_layout(docs: DataFrame, plan: Plan, path: str, doc_id: str = "doc_id", text: str = "text") -> str:
-    """Files of ``docs`` (of planned()) below path/_shard=k, with gapless _slot from 0 in each shard."""
-    spark = ship(docs.sparkSession)
-    pieces = max(1, min(BLOCKS // SHARDS, -(-max(plan.bytes, default=0) // PIECE_BYTES)))
-    piece = {key: key[1] % pieces for key in plan.to}
-    count: dict[tuple[int, int], int] = defaultdict(int)
-    for key, shard in plan.to.items():
-        count[shard, piece[key]] += plan.rows[key]
-    begin, total = {}, defaultdict(int)
-    for shard, p in sorted(count):
-        begin[shard, p] = total[shard]
-        total[shard] += count[shard, p]
-    sent = spark.sparkContext.broadcast(begin)
-    table = spark.createDataFrame([(o, b, s, piece[o, b]) for (o, b), s in plan.to.items()], "_old int, _block int, _shard int, _piece int")
-    placed = docs.join(F.broadcast(table), ["_old", "_block"]).drop("_old", "_block")  # BLOCKS rows at most
-    n = max(spark.sparkContext.defaultParallelism, min(len(count), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    sorted_ = placed.repartition(n, "_shard", "_piece").sortWithinPartitions("_shard", "_piece", doc_id, F.crc32(F.col(f"`{text}`").cast("binary")))
-    names = [c for c in sorted_.columns if c != "_piece"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slot: dict[tuple[int, int], int] = {}
-        for batch in batches:
-            s, p = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_shard", "_piece"))
-            edge = np.concatenate([[0], np.flatnonzero((s[1:] != s[:-1]) | (p[1:] != p[:-1])) + 1, [len(s)]]) if len(s) else [0]
-            out = np.empty(len(s), np.int64)
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                key = int(s[a]), int(p[a])
-                at = slot.get(key, sent.value[key])
-                out[a:b] = np.arange(at, at + b - a)
-                slot[key] = at + int(b - a)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), pa.array(out)], names=[*names, "_slot"])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sorted_.schema if f.name != "_piece")
-    sorted_.mapInArrow(run, f"{kinds}, _slot long").write.partitionBy("_shard").parquet(path)
-    return path
-
-
-def reshard(docs: DataFrame, old: Column, path: str, shards: int = SHARDS, text: str = "text", doc_id: str = "doc_id") -> Plan:
-    """Write ``docs`` as ``shards`` shards below ``path``; ``old`` numbers the shards in which they are now."""
-    cut, plan = planned(docs, old, shards, text, doc_id)
-    write_layout(cut, plan, path, doc_id, text)
+def lay_out(docs: DataFrame, shard: Column, path: str) -> StructType:
+    """Write ``docs`` as a layout below ``path``, each row in the shard that the column says; no shuffle. Returns the layout's schema."""
+    docs = docs.withColumn("_to", shard) if "_to" not in docs.columns else docs.withColumnRenamed("_to", "_to_in").withColumn("_to", shard)
+    docs = docs.withColumnsRenamed({c: f"{c}_in" for c in docs.columns if c in _OWN and c != "_to"}).withColumnRenamed("_to", "_shard")
+    docs = docs.withColumn("_shard", F.col("_shard").cast("int"))
+    docs.write.partitionBy("_shard").parquet(path)
+    return StructType([f for f in docs.schema if f.name != "_shard"]).add("_shard", "integer")
+
+
+def _read(spark: SparkSession, path: str, schema: StructType, shards: list[int] | None = None) -> DataFrame:
+    """Rows of a layout, or of some shards of it, with their file and place."""
+    rows = spark.read.schema(schema).parquet(path)
+    if shards is not None:
+        rows = rows.filter(F.col("_shard").isin(shards))
+    return rows.withColumns({"_file": F.col("_metadata.file_name"), "_at": F.col("_metadata.row_index")})
+
+
+def _blocked(rows: DataFrame, blocks: int) -> DataFrame:
+    return rows.withColumn("_block", F.pmod(F.xxhash64("_file", "_at"), F.lit(blocks)).cast("int"))
+
+
+def reshard(spark: SparkSession, path: str, schema: StructType, new: str, shards: int, text: str = "text", blocks: int = BLOCKS) -> Plan:
+    """Change the layout below ``path`` to ``shards`` shards: those that give rows away (``giving`` of the plan) are rewritten below ``new``, where
+    moved rows go too. slotted() reads the result."""
+    n_old = max(1, spark.read.schema(schema).parquet(path).select("_shard").distinct().count())  # folders alone
+    each = max(1, blocks // n_old)
+    sums = _blocked(_read(spark, path, schema), each).groupBy("_shard", "_block").agg(F.sum(size_of(text)).alias("b"), F.count(F.lit(1)).alias("n"))
+    plan = Plan([(r._shard, r._block, r.b, r.n) for r in sums.collect()], shards)  # BLOCKS rows, or one a shard if there are more shards
+    table = spark.createDataFrame([(o, b, s) for (o, b), s in plan.to.items() if o in set(plan.giving)], "_shard int, _block int, _to int")
+    given = _blocked(_read(spark, path, schema, plan.giving), each).join(F.broadcast(table), ["_shard", "_block"])
+    names = [f.name for f in schema if f.name != "_shard"]
+    out = [*(f"`{c}`" for c in names), F.col("_to").alias("_shard")]
+    pieces = min(MOST_PIECES, max(spark.sparkContext.defaultParallelism, plan.moved // PIECE_BYTES + 1))
+    moved = given.filter("_to != _shard").repartition(pieces, "_to", F.pmod("_block", F.lit(pieces // shards + 1)))
+    given.filter("_to = _shard").select(*out).unionAll(moved.select(*out)).write.partitionBy("_shard").parquet(new)
     return plan
 
 
-def reshard_layout(spark: SparkSession, path: str, new: str, shards: int, text: str = "text", doc_id: str = "doc_id") -> tuple[list[str], list[str]]:
-    """Change a layout of write_layout() to ``shards`` shards. Returns the files of ``path`` that stay as they are and those written to ``new``.
-
-    A shard that gives rows away is rewritten without them; one that only gets some keeps its files and gets new ones, whose slots go on.
-    """
-    docs = spark.read.parquet(path)
-    cut, plan = planned(docs, F.col("_shard"), shards, text, doc_id, numbered=True)
-    giving = sorted({o for (o, b), s in plan.to.items() if s != o})
-    table = spark.createDataFrame([(o, b, s) for (o, b), s in plan.to.items()], "_old int, _block int, _to int")
-    kept = defaultdict(int)
-    for (o, b), s in plan.to.items():
-        if o not in giving:
-            kept[s] += plan.rows[o, b]
-    changed = cut.filter(F.col("_old").isin(giving)).join(F.broadcast(table), ["_old", "_block"]).drop("_old", "_block", "_shard", "_slot_in").withColumnRenamed("_to", "_shard")
-    base = spark.createDataFrame([(s, kept[s]) for s in range(shards)], "_shard int, _base long")
-    from pyspark.sql import Window
-
-    slot = F.row_number().over(Window.partitionBy("_shard").orderBy(doc_id)) - 1
-    changed.withColumn("_slot", slot.cast("long")).join(F.broadcast(base), "_shard").withColumn("_slot", F.col("_slot") + F.col("_base")).drop("_base").write.partitionBy("_shard").parquet(new)
-    stay = [f for f in docs.inputFiles() if int(f.split("/_shard=")[1].split("/")[0]) not in giving]
-    return sorted(stay), sorted(spark.read.parquet(new).inputFiles()) if giving else []
+def slotted(spark: SparkSession, layouts: list[tuple[str, list[int] | None]], schema: StructType) -> DataFrame:
+    """Rows of the shards in ``layouts`` (path, shards; None: all) with _shard and _slot, gapless from 0 in each shard."""
+    rows = None
+    for gen, (path, shards) in enumerate(layouts):
+        part = _read(spark, path, schema, shards).withColumn("_gen", F.lit(gen))
+        rows = part if rows is None else rows.unionAll(part)
+    files = rows.groupBy("_shard", "_gen", "_file").agg((F.max("_at") + 1).alias("n"))
+    before = Window.partitionBy("_shard").orderBy("_gen", "_file").rowsBetween(Window.unboundedPreceding, -1)  # the files of one shard
+    first = materialize(files.select("_shard", "_gen", "_file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_first")), "files")
+    placed = rows.join(first, ["_shard", "_gen", "_file"])  # broadcast only while the list of files is small
+    return placed.select(*(f"`{f.name}`" for f in schema), (F.col("_first") + F.col("_at")).alias("_slot"))
 
 
-def by_file() -> Column:
-    """The number of a row's input file: a hash of its name, so that it is the same wherever the table lies."""
-    return _hashed(F.element_at(F.split(F.input_file_name(), "/"), -1), MOST_OLD, 3)
+def uneven(doc_id: str, n_files: int) -> Column:
+    """Old shards of the query: pieces of the table's files, dealt so that the first shards get far more than the last ones."""
+    piece = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(10)), F.lit(-(-OLD_PIECES // n_files)))
+    lot = F.pmod(F.xxhash64(F.element_at(F.split(F.input_file_name(), "/"), -1), piece), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    return F.floor(lot * lot * OLD).cast("int")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of the table are the old shards."""
-    path = folder(spark, "shards")
+    """Writes an uneven layout of OLD shards, as a growing table has it, and changes it to SHARDS equal ones."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    reshard(docs, by_file(), path)
-    schema = docs.schema.add("_slot", "long").add("_shard", "integer")
-    new = spark.read.schema(schema).parquet(path)
+    old, new = folder(spark, "old"), folder(spark, "new")
+    schema = lay_out(docs, uneven("doc_id", max(1, len(docs.inputFiles()))), old)
+    plan = reshard(spark, old, schema, new, SHARDS)
+    rows = slotted(spark, [(old, [o for o in range(OLD) if o not in plan.giving]), (new, None)], schema)
     crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    return new.select("doc_id", size_of("text").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return rows.select("doc_id", size_of("text").alias("size"), crc.alias("text_crc32"), F.lit("bytes").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -75,41 +75,103 @@ def test_flow_is_the_cheapest():
         assert int((f * cost).sum()) == brute_flow(supply, capacity, cost)
 
 
-def check(new, docs, shards):
-    rows = new.collect()
+def read(spark, layouts, schema, docs, shards):
+    """Rows of a layout; no row is lost and the slots of each shard are gapless."""
+    rows = sharding.slotted(spark, layouts, schema).collect()
     assert len(rows) == docs.count()
     for s in range(shards):
         assert sorted(r["_slot"] for r in rows if r["_shard"] == s) == list(range(sum(r["_shard"] == s for r in rows)))
     return rows
 
 
-def test_reshard(spark, odd, empty):
-    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text"), F.lit(1).alias("_slot"))
-    path = folder(spark, "s")
-    plan = sharding.reshard(docs, F.when(F.col("doc_id") < 2500, 0).otherwise(1), path, 7)
-    rows = check(spark.read.parquet(path), docs, 7)
-    size = np.zeros(7)
+def sizes(rows, shards):
+    out = [0] * shards
     for r in rows:
-        size[r["_shard"]] += len((r.text or "").encode()) + 16
-    assert size.max() - size.min() < 200 and size.tolist() == plan.bytes
-    assert "_slot_in" in rows[0].asDict() and zlib.crc32(b"") == 0
-    path = folder(spark, "s")
-    sharding.reshard(odd, F.lit(0), path, 3)
-    check(spark.read.parquet(path), odd, 3)
-    path = folder(spark, "s")
-    assert sharding.reshard(empty, F.lit(0), path, 3).bytes == [0, 0, 0]
+        out[r["_shard"]] += len((r.text or "").encode()) + 16
+    return out
+
+
+def test_reshard(spark):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text"), F.lit(1).alias("_slot"), F.lit("m").alias("_metadata"))
+    path, new = folder(spark, "s"), folder(spark, "s")
+    schema = sharding.lay_out(docs, F.when(F.col("doc_id") < 2500, 0).otherwise(9), path)
+    plan = sharding.reshard(spark, path, schema, new, 7)
+    rows = read(spark, [(path, [o for o in (0, 9) if o not in plan.giving]), (new, None)], schema, docs, 7)
+    assert plan.giving == [0, 9]  # 9 has no new shard of its number
+    size = sizes(rows, 7)
+    assert max(size) - min(size) < 200 and size == plan.bytes
+    assert plan.least <= plan.moved < plan.least + 200
+    assert {(r.doc_id, r.text, r["_slot_in"], r["_metadata_in"]) for r in rows} == {(i, "é" * (i % 50), 1, "m") for i in range(3000)}
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_odd_rows(spark, odd, empty, shards):
+    for docs in (odd, empty):
+        path, new = folder(spark, "s"), folder(spark, "s")
+        schema = sharding.lay_out(docs, F.lit(0), path)
+        plan = sharding.reshard(spark, path, schema, new, shards)
+        rows = read(spark, [(path, [o for o in (0,) if o not in plan.giving]), (new, None)] if plan.giving else [(path, None)], schema, docs, shards)
+        key = lambda r: repr((r.doc_id, r.text, r.lang, r["_text"]))
+        assert sorted(map(key, rows)) == sorted(map(key, docs.collect()))
+
+
+def test_repeated_ids_are_spread(spark):
+    """Half of all rows share one id, a quarter has none: blocks are places in files, so shards stay equal."""
+    docs = spark.range(4000).select(F.when(F.col("id") < 2000, 7).when(F.col("id") > 2999, F.col("id")).alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 60).cast("int")).alias("text"))
+    path, new = folder(spark, "s"), folder(spark, "s")
+    schema = sharding.lay_out(docs.repartition(3), F.lit(0), path)
+    plan = sharding.reshard(spark, path, schema, new, 40)
+    size = sizes(read(spark, [(path, []), (new, None)], schema, docs, 40), 40)
+    assert plan.giving == [0] and max(size) - min(size) < 200
 
 
 def test_only_affected_files_are_rewritten(spark):
     docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
-    path, new = folder(spark, "s"), folder(spark, "s")
-    sharding.reshard(docs.filter("doc_id < 1900"), F.lit(0), path, 4)
-    stay, written = sharding.reshard_layout(spark, path, new, 5)
-    both = spark.read.option("basePath", path).parquet(*stay) if stay else None
-    rows = spark.read.parquet(new)
-    whole = rows if both is None else rows.unionByName(both)
-    got = check(whole, docs.filter("doc_id < 1900"), 5)
-    assert written and {r["_shard"] for r in got} == set(range(5))
-    # nothing to do: every file stays
-    stay, written = sharding.reshard_layout(spark, path, folder(spark, "s"), 4)
-    assert len(stay) == len(spark.read.parquet(path).inputFiles()) or len(written) >= 0
+    path, new, same = folder(spark, "s"), folder(spark, "s"), folder(spark, "s")
+    schema = sharding.lay_out(docs, F.expr("case when doc_id < 400 then 0 when doc_id < 900 then 1 when doc_id < 1500 then 2 else 3 end"), path)
+    before = sorted(spark.read.parquet(path).inputFiles())
+    plan = sharding.reshard(spark, path, schema, new, 4)
+    assert plan.giving == [2] and plan.moved == plan.least == 100 * 25
+    rows = read(spark, [(path, [0, 1, 3]), (new, None)], schema, docs, 4)
+    assert sizes(rows, 4) == [500 * 25] * 4 and sorted(spark.read.parquet(path).inputFiles()) == before
+    moved = {r.doc_id for r in rows if r["_shard"] == 0} - set(range(400))
+    assert len(moved) == 100 and all(900 <= i < 1500 for i in moved)
+    # shards that are equal already: nothing is written
+    equal = folder(spark, "s")
+    schema = sharding.lay_out(docs, F.expr("cast(doc_id % 4 as int)"), equal)
+    plan = sharding.reshard(spark, equal, schema, same, 4)
+    assert plan.giving == [] and plan.moved == 0
+    assert len(read(spark, [(equal, None)], schema, docs, 4)) == 2000
+
+
+def test_moved_bytes_are_the_fewest(spark):
+    """Against all ways to deal single rows of equal size."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    for _ in range(6):
+        old = rng.integers(0, 5, 6).tolist()
+        plan = sharding.Plan([(o, k, 10, 1) for k, o in enumerate(old)], 3)
+        best = min(sum(10 * (o != n) for o, n in zip(old, to, strict=True)) for to in product(range(3), repeat=6) if all(to.count(k) == 2 for k in range(3)))
+        assert plan.moved == plan.least == best and plan.bytes == [20, 20, 20]
+
+
+def test_many_old_shards(spark):
+    """Thousands of old shards are no larger a network than the new ones."""
+    plan = sharding.Plan([(o, b, 100 + o % 7, 1) for o in range(3000) for b in range(2)], 8)
+    whole = sum(plan.bytes)
+    assert max(plan.bytes) - min(plan.bytes) <= 2 * 107 and plan.flow.shape == (9, 8)
+    assert plan.moved - (whole - sum(2 * (100 + o % 7) for o in range(8))) <= 8 * 2 * 107
+
+
+def test_the_query_decides_a_flow(spark, tmp_path):
+    rows = [(i % 900 if i % 5 else None, "word " * (i % 40) if i % 7 else None, "x") for i in range(1500)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.query(spark, str(tmp_path)).collect()
+    want = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, _ in rows)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == want
+    assert {(r.law, r.grown_shard) for r in got} == {("bytes", None)} and {r.shard for r in got} == set(range(40))
+    size = [sum(r.size for r in got if r.shard == s) for s in range(40)]
+    assert max(size) - min(size) <= 2 * 216
+    for s in range(40):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
