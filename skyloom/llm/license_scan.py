@@ -1,9 +1,12 @@
 """Operator 6, license scans by conditional compression.
 
-Candidate blocks are the lines around cue words and at least REACH characters, merged over small gaps and cut into overlapping pieces of at most PIECE characters. Every
-template whose words are nearly all in a block is confirmed or refuted by its exact wording: the words of the template are aligned with the
-block's, and confirmed if at most one word in ten differs and no word with a digit (a version) or acronym part is missing. ``saved`` is what a
-confirmed template saves of the block's size as a raw-content Zstandard dictionary; it decides nothing.
+Candidate blocks are the lines around cue words and at least REACH characters, merged over small gaps and cut into overlapping pieces of at most
+PIECE characters. Every block is compressed with each template as raw-content Zstandard dictionary, and the templates are ranked by how much
+smaller it gets. In that order they are confirmed or refuted by their exact wording: the words of the template are aligned with the block's, and
+confirmed if at most one word in ten differs and no word with a digit (a version) or acronym part is missing. Where one confirmed wording
+stands within another's place (a GPL header reads like an LGPL one with a word less), the wider place is compressed with both, and the inner one
+goes if the other template makes it smaller. A small reduction alone refutes nothing, so no license is lost among many in a block.
+
 ``<...>`` in a template stands for up to FEW words. SPDX tags are read as such: every license of the expression, known or not (kind ``tag``).
 
 Defined cases: a null or empty text has no candidates; a text may hold several licenses, each found once; equal rows get equal results; an
@@ -102,9 +105,20 @@ class Templates:
         self.alone = zstandard.ZstdCompressor(compression_params=params)
         self.given = [zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, _, w in self.templates]
 
-    def saved(self, data: bytes, plain: int, k: int) -> float:
-        """The share of a block's compressed size that a template saves."""
-        return 1 - len(self.given[k].compress(data)) / plain
+    def reductions(self, data: bytes) -> list[float]:
+        """The share of a block's compressed size that each template saves."""
+        plain = len(self.alone.compress(data))
+        return [1 - len(c.compress(data)) / plain for c in self.given]
+
+    def contested(self, x: tuple, y: tuple, text: str) -> bool:
+        """Whether y takes x's place, which is within y's: by the compressed size of y's place, then by differences."""
+        (_, _, _, size, missing, extra, start, stop, k), (_, _, _, size2, missing2, extra2, start2, stop2, k2) = x, y
+        if not (start2 <= start and stop <= stop2):
+            return False
+        data = " ".join(words(text[start2:stop2])[0]).encode()
+        cost = lambda j, differ: (len(self.given[j].compress(data)), differ)
+        own, other = cost(k, missing + extra), cost(k2, missing2 + extra2)
+        return other < own or other == own and (size2, k) > (size, k2)
 
     @staticmethod
     def aligned(own: list[str], wild: set[int], block: list[str]) -> list[Match]:
@@ -159,19 +173,18 @@ class Templates:
             block, starts = words(text[a:b])
             if not block:
                 continue
-            at, data = places(block), " ".join(block).encode()
-            plain = len(self.alone.compress(data))
-            for k, (spdx, kind, own) in enumerate(self.templates):
-                saved = None
+            at = places(block)
+            saved = self.reductions(" ".join(block).encode())
+            for k in sorted(range(len(saved)), key=lambda k: -saved[k]):
+                spdx, kind, own = self.templates[k]
                 for start, end, missing, extra in self.compare(block, k, at):
-                    saved = self.saved(data, plain, k) if saved is None else saved
-                    new = (spdx, kind, round(saved, 6), len(own), missing, extra, a + starts[start], a + starts[end] + len(block[end]))
+                    new = (spdx, kind, round(saved[k], 6), len(own), missing, extra, a + starts[start], a + starts[end] + len(block[end]), k)
                     old = found.get((spdx, kind))
                     if old is None or (missing + extra, a + starts[start]) < (old[4] + old[5], old[6]):
                         found[spdx, kind] = new
-        # wording within another license's is a part of that one, if the other fits more words, or as many with fewer differences
-        rank = lambda x: (x[3] - x[4] - x[5], -x[4] - x[5])
-        whole = [x for x in found.values() if not any(rank(y) > rank(x) and y[6] <= x[6] and x[7] <= y[7] for y in found.values())]
+        tags = [x for x in found.values() if x[1] == "tag"]
+        worded = [x for x in found.values() if x[1] != "tag"]
+        whole = tags + [x[:-1] for x in worded if not any(y is not x and self.contested(x, y, text) for y in worded)]
         return len(spans), sorted(whole, key=lambda x: (x[6], x[0], x[1]))
 
 
