@@ -13,10 +13,12 @@ Equal sets are one class from the start (min and max of a group's fingerprints t
    across components come out, so a component's own pairs don't. The most promising ones are confirmed first, then those still across.
 Every pair is confirmed by its intersection. Both steps end with connected components, written to the shared folder.
 
+Classes with many copies (HOT rows and more, MOST_HOT classes at most) get their component by a broadcast, so no task has all copies of a text.
+
 Defined cases: a null, empty or wordless text has an empty set and is its own component; fewer than five words are one shingle; equal rows
-are one class; rows that share a doc_id share its fate; a row with a null doc_id joins its class, is named by the smallest id there
-(null if none) and is always kept; an empty table gives an empty result; only the id and the text are read, so other names can't clash.
-Shingles and sets are compared by 64-bit fingerprints.
+are one class; rows that share a doc_id share its fate; a row with a null doc_id joins its class, links others like any text, is named by the
+smallest id there (null if none) and is always kept; an empty table gives an empty result; only the id and the text are read, so other names
+can't clash. Shingles are compared by 64-bit fingerprints, sets by two of them.
 """
 
 from __future__ import annotations
@@ -35,6 +37,8 @@ from skyloom.shipping import ship
 
 WORDS, PERCENT = 5, 85
 SIDE, WIDTH, ROUNDS, FIRST = 8, 2, 3, 3
+#: A class is hot from HOT rows on, and from a MOST_HOT-th of all rows.
+HOT, MOST_HOT = 1000, 10_000
 _RNG = np.random.default_rng(31)
 _XOR = _RNG.integers(0, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64)
 _TIMES = _RNG.integers(0, 2**63, 2 * SIDE * WIDTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,9 +69,13 @@ def shingle_sets(w: Words, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.concatenate([[0], np.cumsum(length)])
 
 
-def _prints(values: np.ndarray, first: np.ndarray, full: np.ndarray) -> np.ndarray:
+def _prints(values: np.ndarray, first: np.ndarray, full: np.ndarray, seed: int = 0xA5A5A5A55A5A5A5A) -> np.ndarray:
     """A fingerprint of each non-empty set."""
-    return mix(np.add.reduceat(mix(values ^ np.uint64(0xA5A5A5A55A5A5A5A)), first[full]) + np.diff(first)[full].astype(np.uint64))
+    return mix(np.add.reduceat(mix(values ^ np.uint64(seed)), first[full]) + np.diff(first)[full].astype(np.uint64))
+
+
+def _second(values: np.ndarray, first: np.ndarray, full: np.ndarray) -> np.ndarray:
+    return _prints(values, first, full, 0x3C6EF372FE94F82B)
 
 
 def _elements(values: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -82,7 +90,7 @@ def _elements(values: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, print, elements); print and elements are null for an empty set."""
+    """(doc_id, n_shingles, print, second, elements, raw): two fingerprints of the set, null for an empty one, its elements, and the first again."""
     ship(docs.sparkSession)
     few = docs.select(docs[f"`{doc_id}`"].alias("doc_id"), docs[f"`{text}`"].alias("_text"))
 
@@ -92,19 +100,20 @@ def signatures(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
                 values, first = shingle_sets(Words(batch.column(1), Words.SPACE))
                 size = np.diff(first)
                 full = np.flatnonzero(size)
-                mark = np.zeros(len(size), np.int64)
+                mark, second = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
                 rows = np.empty(0, np.int64)
                 if len(full):
                     mark[full] = _prints(values, first, full).view(np.int64)
+                    second[full] = _second(values, first, full).view(np.int64)
                     rows = _elements(values, first[:-1][full]).view(np.int64).ravel()
                 at = np.concatenate([[0], np.cumsum((size > 0) * 2 * SIDE)])
                 none = size == 0
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(size, pa.int64()), pa.array(mark, mask=none), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows, pa.int64()))],
-                    names=["doc_id", "n_shingles", "print", "elements"],
+                    [batch.column(0), pa.array(size, pa.int64()), pa.array(mark, mask=none), pa.array(second, mask=none), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(rows, pa.int64()))],
+                    names=["doc_id", "n_shingles", "print", "second", "elements"],
                 )
 
-    return few.mapInArrow(run, f"doc_id {few.schema[0].dataType.simpleString()}, n_shingles long, print long, elements array<long>")
+    return few.mapInArrow(run, f"doc_id {few.schema[0].dataType.simpleString()}, n_shingles long, print long, second long, elements array<long>").withColumn("raw", F.col("print"))
 
 
 def table_keys(signed: DataFrame) -> DataFrame:
@@ -131,22 +140,36 @@ def representatives(keys: DataFrame, turn: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataFrame:
-    """(print, n, s): the sets of the classes in ``wanted`` (rep, print), from the text of the document that represents each."""
-    few = docs.select(docs[f"`{doc_id}`"].alias("rep"), docs[f"`{text}`"].alias("_text")).join(wanted.select("rep", "print"), "rep").select("print", "_text")
+    """(print, n, s): the sets of the classes in ``wanted`` (rep, print, raw, second), from the text of the document that represents each, or
+    from any of the rows without id where a class has no other."""
+    own = docs.select(docs[f"`{doc_id}`"].alias("rep"), docs[f"`{text}`"].alias("_text"))
+    named = own.join(wanted.select("rep", "print", "raw", "second"), "rep").select("print", "raw", "second", "_text")
+    nameless = own.filter("rep is null").select(*(F.lit(None).cast("long").alias(c) for c in ("print", "raw", "second")), "_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "_text"):
-                values, first = shingle_sets(Words(batch.column(1), Words.SPACE))
+                values, first = shingle_sets(Words(batch.column(3), Words.SPACE))
                 full = np.flatnonzero(np.diff(first))
                 if not len(full):
                     continue
-                right = full[_prints(values, first, full).view(np.int64) == batch.column(0).to_numpy()[full]]
-                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64)))
-                at = pa.array(right, pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(np.diff(first)[right], pa.int64()), lists.take(at)], names=["print", "n", "s"])
-
-    return few.mapInArrow(run, "print long, n long, s array<long>")
+                raw, second = _prints(values, first, full).view(np.int64), _second(values, first, full).view(np.int64)
+                if batch.column(0).null_count:  # rows without id: all of them, each set once
+                    _, once = np.unique(np.stack([raw, second]), axis=1, return_index=True)
+                    right, raw, second = full[once], raw[once], second[once]
+                    mark = pa.nulls(len(right), pa.int64())
+                else:
+                    fits = (raw == batch.column(1).to_numpy()[full]) & (second == batch.column(2).to_numpy()[full])
+                    right, raw, second = full[fits], raw[fits], second[fits]
+                    mark = batch.column(0).take(pa.array(right, pa.int64()))
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(values.view(np.int64))).take(pa.array(right, pa.int64()))
+                yield pa.RecordBatch.from_arrays([mark, pa.array(raw), pa.array(second), pa.array(np.diff(first)[right], pa.int64()), lists], names=["print", "raw", "second", "n", "s"])
+
+    kinds = "print long, raw long, second long, n long, s array<long>"
+    found = named.mapInArrow(run, kinds).select("print", "n", "s")
+    others = nameless.mapInArrow(run, kinds).groupBy("raw", "second").agg(F.first("n").alias("n"), F.first("s").alias("s"))
+    lacking = wanted.filter("rep is null").select("print", "raw", "second")
+    return found.unionAll(others.join(lacking, ["raw", "second"]).select("print", "n", "s"))
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -198,9 +221,14 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     signed = materialize(signatures(docs, text, doc_id), "signatures")
-    classes = signed.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"))
+    classes = _classes(signed)
+    if not (clash := classes.filter("second != other")).isEmpty():  # different sets with one fingerprint get one from both
+        again = F.col("again").isNotNull()
+        signed = signed.join(clash.select("print", F.lit(1).alias("again")), "print", "left").withColumn("print", F.when(again, F.xxhash64("print", "second")).otherwise(F.col("print"))).drop("again")
+        signed = materialize(signed, "signatures")
+        classes = _classes(signed)
     keys = materialize(table_keys(signed), "keys")
-    wanted = keys.select("print").distinct().join(classes, "print").filter("rep is not null")
+    wanted = keys.select("print").distinct().join(classes, "print")
     sets = materialize(sets_of(docs, wanted, text, doc_id), "sets")
     links, labels = None, None
     for turn in range(ROUNDS):
@@ -223,10 +251,19 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     joined = classes.join(labels.withColumnRenamed("node", "print"), "print")
     named = joined.groupBy("label").agg(F.min("rep").alias("component"))
     linked = labels.join(named, "label").select(F.col("node").alias("print"), "component")
-    names = classes.join(linked, "print", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "print").join(names, "print", "left")
-    component = F.when(F.col("print").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == component, F.lit(False))).alias("kept"))
+    names = materialize(classes.join(linked, "print", "left").select("print", F.coalesce("component", "rep").alias("component"), "copies"), "names")
+    rows = signed.select("doc_id", "n_shingles", "print")
+    most = max(HOT, (names.agg(F.sum("copies")).first()[0] or 0) // MOST_HOT)
+    hot = names.filter(F.col("copies") >= most).select("print", "component")  # MOST_HOT classes at most
+    out = rows.join(F.broadcast(hot), "print").unionByName(rows.filter("print is null").withColumn("component", F.col("doc_id")))
+    out = out.unionByName(rows.filter("print is not null").join(F.broadcast(hot.select("print")), "print", "left_anti").join(names.filter(F.col("copies") < most).drop("copies"), "print"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == F.col("component"), F.lit(False))).alias("kept"))
+
+
+def _classes(signed: DataFrame) -> DataFrame:
+    """(print, raw, second, other, rep, copies): classes of equal sets; second and other differ where sets share a fingerprint by chance."""
+    own = signed.filter("print is not null").groupBy("print")
+    return materialize(own.agg(F.min("raw").alias("raw"), F.min("second").alias("second"), F.max("second").alias("other"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
 
 def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

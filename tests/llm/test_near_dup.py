@@ -80,3 +80,41 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7)]
     got = {r.node: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def chain(n, step):
+    """Texts of which each is near the next alone: words are replaced one after the other."""
+    base = [f"w{i}" for i in range(200)]
+    for k in range(n):
+        t = list(base)
+        for j in range(k * step):
+            t[(j * 7) % 200] = f"x{j}"
+        yield " ".join(t)
+
+
+def test_a_text_without_id_links_others(spark):
+    a, b, c = chain(3, 2)
+    assert not 100 * len(shingles(a) & shingles(c)) >= 85 * len(shingles(a) | shingles(c))
+    for ids, want in (((1, 3, 2), {1: 1, 2: 1, 3: 1}), ((1, None, 2), {1: 1, 2: 1, None: 1}), ((None, 5, None), {5: 5, None: 5}), ((None, None, None), {None: None})):
+        rows = list(zip(ids, (a, b, c), strict=True))
+        got = op.find(spark.createDataFrame([*rows, (None, b), (None, b)] if None in ids else rows, "doc_id long, text string").repartition(3)).collect()
+        assert {r.doc_id: r.component_id for r in got} == want and all(r.kept for r in got if r.doc_id is None)
+        assert len(got) == (5 if None in ids else 3)
+
+
+def test_many_copies(spark, monkeypatch):
+    """Hot classes get their component by broadcast, others by a shuffle."""
+    monkeypatch.setattr(op, "HOT", 10)
+    a, b, c = chain(3, 2)
+    rows = [(i, (a, c, "", "lone text of its own here", None)[i % 5]) for i in range(100, 200)] + [(50, b), (60, "another lone text here now")]
+    got = op.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
+def test_sets_that_share_a_fingerprint(spark, monkeypatch):
+    """Fingerprints of three values: different sets don't become one class."""
+    real = op.signatures
+    monkeypatch.setattr(op, "signatures", lambda *a: real(*a).withColumn("print", op.F.pmod("print", op.F.lit(3))))
+    rows = list(enumerate([*chain(9, 1), *(f"lone text number {i} of its own" for i in range(6)), "lone text number 3 of its own", "", None]))
+    got = op.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
