@@ -51,7 +51,7 @@ def thetaphi2lonlat(theta: Column, phi: Column) -> tuple[Column, Column]:
 
 
 def _looked_up(table: list[int], v: Column, n_bytes: int, step: int) -> Column:
-    entries = F.array(*(F.lit(x).cast("long") for x in table))
+    entries = F.expr("array(" + ", ".join(f"{x}L" for x in table) + ")")  # one text, since a Column for each entry costs seconds
     byte = lambda k: F.shiftrightunsigned(v, 8 * k).bitwiseAND(F.lit(255)).cast("int")
     return sum((F.shiftleft(F.get(entries, byte(k)), step * k) for k in range(1, n_bytes)), F.get(entries, byte(0)))
 

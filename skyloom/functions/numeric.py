@@ -32,9 +32,8 @@ def all_finite(cols: list[Column]) -> Column:
 
 
 def compare(op: str, a: Column, b: Column) -> Column:
-    """IEEE comparisons: everything with NaN is false, but != is true."""
-    a, b = a.cast("double"), b.cast("double")
-    nan = F.isnan(a) | F.isnan(b)
+    """IEEE comparisons: everything with NaN is false, but != is true. Integers are compared as such, of any size."""
+    nan = F.isnan(a.cast("double")) | F.isnan(b.cast("double"))
     if op == "!=":
         return nan | (a != b)
     plain = {"==": a == b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]

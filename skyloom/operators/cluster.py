@@ -44,11 +44,11 @@ def relabel(df: DataFrame, cluster: str, row: str, into: str = "id") -> DataFram
     return df.join(ranks, cluster, "left").withColumn(into, F.coalesce(into, F.lit(-1)))
 
 
-def borders(m: int, n: int, ids: np.ndarray) -> list[tuple[int, int]]:
+def borders(m: int, n: int, ids: np.ndarray, topology: str = "square") -> list[tuple[int, int]]:
     """Pairs of adjacent neurons in different clusters."""
     from skyloom.operators.som import Som
 
-    return [(a, b) for a, b in Som(m, n, 2, "square").neighbours() if a < b and ids[a] != ids[b]]
+    return [(a, b) for a, b in Som(m, n, 2, topology).neighbours() if a < b and ids[a] != ids[b]]
 
 
 def label_centroids(m: int, n: int, ids: np.ndarray) -> list[tuple[int, float, float]]:

@@ -87,3 +87,11 @@ def sequential(nside: int, footprint: list[int], density: list[float], seed: int
         phi = np.where(m > 1, c + X - Y, c + (X - Y) / m) * (math.pi / 4)
     s = np.where(m > 1, np.sqrt(np.maximum(1 - z * z, 0)), m * np.sqrt(np.maximum(2 / 3 - (m * m) / 9, 0)) * 1.0)
     return np.degrees(phi), 90 - np.degrees(np.arctan2(s, z))
+
+
+def sequential_fullsky(nside: int, mean_density: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for fullsky_uniform(): lon, lat in degrees."""
+    rng = np.random.default_rng(seed)
+    n = rng.poisson(int(mean_density * hp.nside2npix(nside)))
+    lon = rng.uniform(-180.0, 180.0, n)
+    return lon, np.degrees(np.arcsin(rng.uniform(-1.0, 1.0, n)))

@@ -267,12 +267,12 @@ class Som:
         ship(df.sparkSession)
         return self.train_from_cov(stats.covariance_of_vectors(df, vector, self.dim, weight), **how)
 
-    def train_from_cov(self, cov: np.ndarray, min_weight: float = 0.0, max_weight: float = 1.0, scale_by_variance: bool = True, apply_cdf: bool = False, cdf_gain: float = 1.0) -> Som:
-        """The grid spanned by the two leading components; optionally each weight through a normal distribution function."""
+    def train_from_cov(self, cov: np.ndarray, min_weight: float = 0.0, max_weight: float = 1.0, scale_by_variance: bool = False, apply_cdf: bool = False, cdf_gain: float = 1.0, positive: bool = False) -> Som:
+        """The grid spanned by the two leading components; optionally each weight through a normal distribution function. positive: see diagonalize()."""
         if self.dim < 2 or max_weight <= min_weight or cdf_gain <= 0:
             raise ValueError("needs dim >= 2, max_weight > min_weight and cdf_gain > 0")
         self.cov_matrix = cov
-        self.eigenvalues, self.eigenvectors = stats.diagonalize(cov)
+        self.eigenvalues, self.eigenvectors = stats.diagonalize(cov, positive=positive)
         v = [self.eigenvectors[:, k] * (math.sqrt(self.eigenvalues[k]) if scale_by_variance and self.eigenvalues[k] > 0 else 1.0) for k in (0, 1)]
         lo, hi = (-1.0, 1.0) if apply_cdf else (min_weight, max_weight)
         w = np.linspace(lo, hi, self.m)[:, None, None] * v[0] + np.linspace(lo, hi, self.n)[None, :, None] * v[1]
@@ -311,6 +311,15 @@ class Som:
             raise ValueError("the map has no positive distance")
         return (total / top).reshape(self.m, self.n).astype(self.dtype)
 
+    def cells(self) -> list[tuple[int, float, float, list[tuple[float, float]]]]:
+        """(neuron, y, x, corners) of each neuron's cell: a unit square, or a hexagon as wide as the lattice's step."""
+        t = self.topography
+        if self.topology == "square":
+            corners = [(-0.5, -0.5), (-0.5, 0.5), (0.5, 0.5), (0.5, -0.5)]
+        else:
+            corners = [(math.cos(a) / math.sqrt(3), math.sin(a) / math.sqrt(3)) for a in (math.pi / 6 + k * math.pi / 3 for k in range(6))]
+        return [(k, float(y), float(x), [(float(y) + a, float(x) + b) for a, b in corners]) for k, (y, x) in enumerate(t)]
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """(neuron, i, j, ty, tx, w): one row a neuron."""
         t = self.topography
@@ -322,12 +331,14 @@ def find_hyperparameters(df: DataFrame, vector: str, dim: int, n_epochs: int, we
     """Grid search over map size, radius and (online) rate for the least quantization error."""
     size = df.agg(F.count(F.lit(1)) if weight is None else F.sum(weight)).first()[0]
     ref = math.sqrt(5 * math.sqrt(size))
+    ship(df.sparkSession)
+    cov = stats.covariance_of_vectors(df, vector, dim, weight)  # the same for all trials
     best: dict = {"quantization_error": math.inf}
     for m0 in np.unique(np.linspace(1.5 * ref, 0.5 * ref, steps)):
         for sigma in np.unique(m0 / np.linspace(8.0, 1.0, steps)):
             for alpha in [None] if mode == "batch" else alphas:
                 m = max(1, round(float(m0)))
-                start = Som(m, m, dim, topology).train_pca(df, vector, weight)
+                start = Som(m, m, dim, topology).train_from_cov(cov)
                 som = Som(m, m, dim, topology, mode=mode, sigma=float(sigma), **({} if alpha is None else {"alpha": alpha})).init_from(start)
                 som.train(df, vector, weight, n_epochs=n_epochs, order=order, use_best_epoch=use_best_epoch)
                 at = int(np.nanargmin(som.quantization_errors)) if use_best_epoch else len(som.quantization_errors) - 1

@@ -70,11 +70,13 @@ def as_matrix(cov: DataFrame) -> np.ndarray:
     return out
 
 
-def diagonalize(matrix: np.ndarray, sort: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Eigenvalues and eigenvectors (columns), largest first; signs are arbitrary."""
+def diagonalize(matrix: np.ndarray, sort: bool = True, positive: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues and eigenvectors (columns), largest first; signs are arbitrary, or such that a vector's largest entry is positive."""
     if matrix.ndim != 2 or matrix.shape[0] != matrix.shape[1]:
         raise ValueError("the matrix is not square")
     values, vectors = np.linalg.eigh(matrix)
+    if positive:
+        vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), np.arange(len(vectors))])
     return (values[::-1], vectors[:, ::-1]) if sort else (values, vectors)
 
 
@@ -97,10 +99,10 @@ class LinearRegression:
     error: float = float("nan")
 
     def moments(self, df: DataFrame, target: str) -> np.ndarray:
-        """Sums of products of (1, x, y): one aggregate of (d + 2)(d + 3) / 2 numbers."""
+        """Sums of products of (1, x, y) over rows where all of them are finite: one aggregate of (d + 2)(d + 3) / 2 numbers."""
         v = [F.lit(1.0), *(F.col(d).cast("double") for d in self.dims), F.col(target).cast("double")]
         n = len(v)
-        row = df.agg(*(F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n))).first()
+        row = df.filter(all_finite(v[1:])).agg(*(F.sum(v[i] * v[j]).alias(f"s{i}_{j}") for i in range(n) for j in range(i, n))).first()
         if row["s0_0"] is None:
             raise ValueError("the dataset is empty")
         return np.array([[row[f"s{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
@@ -126,8 +128,9 @@ class LinearRegression:
         return sum((F.col(d).cast("double") * float(w) for d, w in zip(self.dims, self.weights, strict=True)), F.lit(float(self.intercept)))
 
     def rmse(self, df: DataFrame, target: str, chunk: str | None = None, cv: int = 0, folds: list[int] | None = None) -> DataFrame:
-        """One row ``rmse``; with ``chunk`` the rows whose chunk number modulo ``cv`` is in ``folds`` stay out. Infinite without rows."""
+        """One row ``rmse``, over rows without null or NaN; with ``chunk`` the rows whose chunk number modulo ``cv`` is in ``folds`` stay out. Infinite without rows."""
         rows = df if chunk is None else df.filter(~F.pmod(F.col(chunk), F.lit(cv)).isin(folds))
+        rows = rows.filter(all_finite([F.col(c).cast("double") for c in (*self.dims, target)]))
         return rows.agg(F.coalesce(F.sqrt(F.avg(F.pow(F.col(target) - self.predict(), 2))), F.lit(float("inf"))).alias("rmse"))
 
 
@@ -150,6 +153,13 @@ def delta_chi2(points: DataFrame, lines: DataFrame, variances: DataFrame, by: st
     return rows.groupBy(by).agg(a.alias("chi2_ini"), b.alias("chi2_new"), (a - b).alias("delta_chi2"))
 
 
+def chi2_of_one(points: DataFrame, variances: DataFrame, by: str, bin_: str, y: str) -> DataFrame:
+    """(by, chi2_ini) for the hypothesis y = 1, which a correction by interpolation reaches at every bin."""
+    rows = points.join(variances, [by, bin_])
+    inv = F.when(F.col("var") > 0, F.lit(1.0) / F.when(F.col("var") > 0, F.col("var"))).otherwise(0.0)
+    return rows.groupBy(by).agg(F.sum(F.pow(F.col(y) - 1, 2) * inv).alias("chi2_ini"))
+
+
 def interpolate(x: Column, xs: list[float], ys: list[float]) -> Column:
     """Piecewise linear through (xs, ys), its end pieces extended; a chain of comparisons for the few points of a bin table."""
     if len(xs) < 2:

@@ -40,6 +40,7 @@ class SkyCleaner:
     som: Som | None = None
     won: DataFrame | None = None
     table: DataFrame | None = None
+    clustered: DataFrame | None = None
     clusters: np.ndarray | None = field(default=None)
 
     def __post_init__(self):
@@ -79,20 +80,32 @@ class SkyCleaner:
         self.clusters = clusterize(w, n_clusters)
         ids = spark.createDataFrame([(k, int(c)) for k, c in enumerate(self.clusters)], "neuron int, cluster int")
         by = self.table.join(ids, "neuron").groupBy("cluster").agg(F.avg("cat").alias("cat"), F.avg("foot").alias("foot"))
-        self.table = ids.join(by, "cluster").select("neuron", "cat", "foot", F.when(F.col("foot") > 0, F.col("cat") / F.when(F.col("foot") > 0, F.col("foot"))).alias("gnd"))
+        self.clustered = ids.join(by, "cluster").select("neuron", "cat", "foot", F.when(F.col("foot") > 0, F.col("cat") / F.when(F.col("foot") > 0, F.col("foot"))).alias("gnd"))
         return self
 
-    def maps(self) -> DataFrame:
-        """The rows with neuron, gndm, gndc (contrast of the corrected density), gndcm (of gndm) and visibility."""
+    def maps(self, clustered: bool = False) -> DataFrame:
+        """The rows with neuron, gndm (of neurons, or of their clusters), gndc (contrast of the corrected density), gndcm (of gndm) and visibility."""
+        table = self.clustered if clustered else self.table
+        if table is None:
+            raise ValueError("compute the densities first")
         mean = self.df.agg((F.sum("corrected") / F.count(F.lit(1))).alias("m")).scalar()
-        out = self.won.join(F.broadcast(self.table.select("neuron", F.col("gnd").alias("gndm"))), "neuron", "left").withColumn("_m", mean)  # a row a neuron
+        out = self.won.join(F.broadcast(table.select("neuron", F.col("gnd").alias("gndm"))), "neuron", "left").withColumn("_m", mean)  # a row a neuron
         out = out.withColumn("gndc", contrast(F.col("corrected"), F.col("_m"))).withColumn("gndcm", contrast(F.col("gndm"), F.col("_m")))
         return out.withColumn("visibility", visibility(F.col("gndcm"), F.col(self.coverage))).drop("_m")
 
-    def generate(self, kind: str, mean_density: float, seed: int = 0) -> DataFrame:
-        """(ra, dec) of kind data, uniform or visibility: the map scaled to a mean of ``mean_density`` objects a pixel."""
-        column = {"data": self.density, "uniform": self.coverage, "visibility": "visibility"}[kind]
-        rows = (self.maps() if kind == "visibility" else self.df).select("pix", F.col(column).cast("double").alias("value"))
+    def rates(self, kind: str, mean_density: float) -> DataFrame:
+        """(pix, value): expected objects a pixel. data: the density scaled to a mean of ``mean_density``; uniform, visibility and
+        clustered: ``mean_density`` times the coverage, the visibility or that by clusters."""
+        if kind not in ("data", "uniform", "visibility", "clustered"):
+            raise ValueError(f"unknown kind {kind!r}")
+        if kind in ("visibility", "clustered"):
+            return self.maps(kind == "clustered").select("pix", (F.col("visibility") * float(mean_density)).alias("value"))
+        rows = self.df.select("pix", F.col(self.density if kind == "data" else self.coverage).cast("double").alias("value"))
+        if kind == "uniform":
+            return rows.select("pix", (F.col("value") * float(mean_density)).alias("value"))
         scale = rows.agg((F.lit(float(mean_density)) / F.avg("value")).alias("s")).scalar()
-        scaled = rows.withColumn("_s", scale).select("pix", (F.col("value") * F.col("_s")).alias("value"))
-        return generate.catalog(generate.number_density(scaled, self.nside, 1.0, seed))
+        return rows.withColumn("_s", scale).select("pix", (F.col("value") * F.col("_s")).alias("value"))
+
+    def generate(self, kind: str, mean_density: float, seed: int = 0) -> DataFrame:
+        """(ra, dec) of a random catalog of that kind."""
+        return generate.catalog(generate.number_density(self.rates(kind, mean_density), self.nside, 1.0, seed))

@@ -158,17 +158,18 @@ def _truth(node, c: Column) -> Column:
     return c if boolean else (c != 0)
 
 
-def to_column(node) -> Column:
+def to_column(node, booleans: frozenset[str] = frozenset()) -> Column:
+    """The node as a column; ``booleans`` are the columns of that type, which count as 0 and 1."""
     if isinstance(node, Always):
         return F.lit(True)
     if isinstance(node, Number):
         return F.lit(node.value)
     if isinstance(node, Name):
-        return F.col(f"`{node.value}`")
+        return F.col(f"`{node.value}`").cast("int") if node.value in booleans else F.col(f"`{node.value}`")
     if isinstance(node, Unary):
-        inner = to_column(node.right)
+        inner = to_column(node.right, booleans)
         return seen(inner) if node.op == "isfinite" else ~_truth(node.right, inner)
-    a, b = to_column(node.left), to_column(node.right)
+    a, b = to_column(node.left, booleans), to_column(node.right, booleans)
     if node.op == "&&":
         return _truth(node.left, a) & _truth(node.right, b)
     if node.op == "||":
@@ -211,7 +212,7 @@ def _compiled(df: DataFrame, expression: str, ignore_masked_columns: bool) -> tu
     if ignore_masked_columns and used:
         row = df.agg(*(F.max(seen(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(used))).first()
         node = without_masked(node, {c for i, c in enumerate(used) if not row[i]})
-    return text, _truth(node, to_column(node))
+    return text, _truth(node, to_column(node, frozenset(c for c, kind in df.dtypes if kind == "boolean")))
 
 
 def mask(df: DataFrame, expression: str, ignore_masked_columns: bool = False) -> tuple[str, Column]:

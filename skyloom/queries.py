@@ -15,7 +15,7 @@ from skyloom.functions import healpix as hp
 from skyloom.functions import kernels, scalars
 from skyloom.operators import binning, cluster, dataset, generate, maps, pairs, stats
 from skyloom.operators.som import Som, find_hyperparameters
-from skyloom.plans import cleaning, selection
+from skyloom.plans import cleaning, isd, selection
 from skyloom.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,13 @@ def selection_isfinite(spark, sf):
     return selection.with_mask(line, "~isfinite x", "unseen").select("l_orderkey", "l_linenumber", "l_partkey", "l_discount", "mask", "unseen")
 
 
+@query("selection_bigint", "select o_orderkey, o_orderkey = 5 as same, o_orderkey > 5 as above from orders")
+def selection_bigint(spark, sf):
+    """Integers beyond 2**53 are told apart."""
+    o = table(spark, sf, "orders").withColumn("k", F.col("o_orderkey") + 9007199254740993 - 5)
+    return selection.with_mask(selection.with_mask(o, "k == 9007199254740993", "same"), "k > 9007199254740993", "above").select("o_orderkey", "same", "above")
+
+
 @query("selection_masked_column", _SELECT + "l_quantity < 5")
 def selection_masked_column(spark, sf):
     line = table(spark, sf, "lineitem").withColumn("empty", F.lit(None).cast("double"))
@@ -200,11 +207,26 @@ def covariance_weighted(spark, sf):
     return stats.covariance(systematics(spark, sf), DIMS, "s0").select("j", "k", r("cov").alias("cov"))
 
 
-@query("pca_projection")
+def _leading(name: str, source: str, squarings: int = 14) -> str:
+    """CTEs to v{name} (k, x): the leading eigenvector of the symmetric matrix source (j, k, c), by powers of it; its largest entry is positive."""
+    steps = [f"{name}_0 as materialized (select j, k, c / sqrt(sum(c * c) over ()) as c from {source})"]
+    for i in range(squarings):
+        steps.append(f"{name}_{i + 1} as materialized (select j, k, c / sqrt(sum(c * c) over ()) as c from (select a.j, b.k, sum(a.c * b.c) as c from {name}_{i} a join {name}_{i} b on a.k = b.j group by a.j, b.k))")
+    top = f"(select j, c from {name}_{squarings} where k = (select k from {name}_{squarings} group by k order by sum(c * c) desc, k limit 1))"
+    steps.append(f"v{name} as materialized (select j as k, c * (select sign(c) from {top} order by abs(c) desc limit 1) / (select sqrt(sum(c * c)) from {top}) as x from {top})")
+    return ", ".join(steps)
+
+
+_COV = "cov as materialized (" + " union all ".join(f"select {j} as j, {k} as k, covar_samp(s{j}, s{k}) as c from sys" for j, k in _PAIRS) + ")"
+_COMPONENTS = f"""{_COV}, {_leading("a", "cov")}, ev as materialized (select sum(l.x * c * m.x) as e from cov join va l on l.k = cov.j join va m on m.k = cov.k),
+rest as materialized (select j, cov.k, c - e * l.x * m.x as c from ev, cov join va l on l.k = cov.j join va m on m.k = cov.k), {_leading("b", "rest")}"""
+
+
+@query("pca_projection", f"with {_SYS}, {_COMPONENTS} select l_orderkey, l_linenumber, " + ", ".join(f"round({' + '.join(f's{k} * (select x from v{v} where k = {k})' for k in range(4))}, 4) + 0::double as p{i}" for i, v in enumerate("ab")) + " from sys")
 def pca_projection(spark, sf):
     s = systematics(spark, sf)
-    _, vectors = stats.diagonalize(stats.as_matrix(stats.covariance(s, DIMS)))
-    return stats.project(s, DIMS, vectors[:, :2]).select("l_orderkey", "l_linenumber", "p0", "p1")
+    _, vectors = stats.diagonalize(stats.as_matrix(stats.covariance(s, DIMS)), positive=True)
+    return stats.project(s, DIMS, vectors[:, :2]).select("l_orderkey", "l_linenumber", r("p0", 4).alias("p0"), r("p1", 4).alias("p1"))
 
 
 @query("regression_analytic", f"with {_SYS} select round(regr_slope(s1, s0), 6) as weight, round(regr_intercept(s1, s0), 6) as intercept, round(sqrt(avg(power(s1 - a - b * s0, 2))), 6) as rmse from sys, (select regr_slope(s1, s0) as b, regr_intercept(s1, s0) as a from sys)")
@@ -226,10 +248,25 @@ def regression_cv_error(spark, sf):
     return stats.LinearRegression(["s0"]).train(s, "s1", compute_error=False).rmse(s, "s1", "l_orderkey", 5, [1, 3]).select(r("rmse").alias("rmse"))
 
 
-@query("regression_gd")
+_MOMENTS = "mo as materialized (select count(*)::double as n, sum(s2) as a, sum(s3) as b, sum(s2 * s2) as aa, sum(s2 * s3) as ab, sum(s3 * s3) as bb, sum(s0) as y, sum(s2 * s0) as ay, sum(s3 * s0) as by_ from sys)"
+
+
+@query("regression_gd", f"""with recursive {_SYS}, {_MOMENTS}, gd as (select 0 as t, 0::double as c, 0::double as w0, 0::double as w1, 1::double as d0, 1::double as d1, 1::double as d2 from mo union all
+  select t + 1, c + d_0, w0 + d_1, w1 + d_2, d_0, d_1, d_2 from (select gd.*, 0.5 * (y - n * c - a * w0 - b * w1) / n as d_0, 0.5 * (ay - a * c - aa * w0 - ab * w1) / n as d_1, 0.5 * (by_ - b * c - ab * w0 - bb * w1) / n as d_2 from gd, mo)
+  where t < 2000 and not (sqrt(d1 * d1 + d2 * d2) < 1e-9 and abs(d0) < 1e-9)),
+last as (select * from gd order by t desc limit 1)
+select round(w0, 6) as w0, round(w1, 6) as w1, round(c, 6) as intercept, (select round(sqrt(avg(power(s0 - c - w0 * s2 - w1 * s3, 2))), 6) from sys, last) as rmse from last""")
 def regression_gd(spark, sf):
     model = stats.LinearRegression(["s2", "s3"], alpha=0.5, tolerance=1e-9).train(systematics(spark, sf), "s0", n_epochs=2000, analytic=False)
-    return spark.createDataFrame([(*map(float, model.weights), model.intercept, model.error)], "w0 double, w1 double, intercept double, rmse double")
+    return spark.createDataFrame([tuple(round(float(x), 6) for x in (*model.weights, model.intercept, model.error))], "w0 double, w1 double, intercept double, rmse double")
+
+
+@query("regression_null", f"with {_SYS} select round(regr_slope(s1, s0), 6) as weight, round(regr_intercept(s1, s0), 6) as intercept, round(sqrt(avg(power(s1 - a - b * s0, 2))), 6) as rmse from sys, (select regr_slope(s1, s0) as b, regr_intercept(s1, s0) as a from sys where l_linenumber > 2) where l_linenumber > 2")
+def regression_null(spark, sf):
+    """Rows with a null or NaN feature or target teach nothing."""
+    odd = F.when(F.col("l_linenumber") > 2, F.col("s0")).when(F.col("l_linenumber") == 2, F.lit(float("nan")))
+    model = stats.LinearRegression(["s0"]).train(systematics(spark, sf).withColumn("s0", odd), "s1")
+    return spark.createDataFrame([(round(float(model.weights[0]), 6), round(model.intercept, 6), round(model.error, 6))], "weight double, intercept double, rmse double")
 
 
 def _isd(spark: SparkSession, sf: str) -> tuple[DataFrame, list[list[float]], DataFrame]:
@@ -270,6 +307,12 @@ def isd_delta_chi2(spark, sf):
     return stats.delta_chi2(points, lines, var, "dim", "bin", "center", "correlation").filter("dim > 0").select("dim", r("delta_chi2", 4).alias("delta_chi2"))
 
 
+@query("isd_chi2_interp", f"with {_POINTS}, mock as (select g, dim, bin, avg(d) as m from put group by all), mm as (select l_linenumber as g, avg(s0) as a from sys group by 1), v as (select dim, bin, var_samp(m / a) as var from mock join mm using (g) group by all) select dim, round(sum(power(correlation - 1, 2) / var), 4) as chi2 from pts join v using (dim, bin) where dim > 0 group by dim")
+def isd_chi2_interp(spark, sf):
+    chi2 = isd.Isd(systematics(spark, sf), DIMS, "s0", "l_linenumber", N_BINS).chi2(isd.Model.INTERPOLATION)
+    return chi2.filter("dim > 0").select("dim", r("chi2", 4).alias("chi2"))
+
+
 # ---- HEALPix and maps ----------------------------------------------------------------------------------------------------------
 
 NSIDE = 32
@@ -293,15 +336,15 @@ def _sql_compress(x: str, order: int) -> str:
     return f"list_sum(list_transform(range(0, {order + 1}), lambda b: (({x} >> (2 * b)::int) & 1) << b::int))::bigint"
 
 
-def _sql_ang2pix(source: str, nside: int, keep: str) -> str:
-    """CTEs from ``source`` (lon, lat) to ``pixels`` (keep, pix)."""
+def _sql_ang2pix(source: str, nside: int, keep: str, name: str = "pixels") -> str:
+    """CTEs from ``source`` (lon, lat) to ``name`` (keep, pix)."""
     o, n = hp.order_of(nside), nside
-    return f"""za as (select *, sin(radians(lat)) as z, fmod(fmod(radians(lon), 2 * pi()) + 2 * pi(), 2 * pi()) * (2 / pi()) as t from {source}),
-zb as (select *, floor((t + 0.5) * {n} - z * {0.75 * n}::double)::bigint as jp, floor((t + 0.5) * {n} + z * {0.75 * n}::double)::bigint as jm, least(floor(t), 3)::bigint as q, sqrt((1 - abs(z)) * 3) * {n} as rr from za),
-zc as (select *, jp // {n} as ip, jm // {n} as im, least(floor((t - q) * rr), {n - 1})::bigint as up, least(floor((1 - (t - q)) * rr), {n - 1})::bigint as um from zb),
-zd as (select *, case when abs(z) <= 2 / 3::double then jm % {n} when z > 0 then {n - 1} - um else up end as x, case when abs(z) <= 2 / 3::double then {n - 1} - jp % {n} when z > 0 then {n - 1} - up else um end as y,
-  case when abs(z) <= 2 / 3::double then (case when ip = im then (case when ip = 4 then 4 else ip + 4 end) when ip < im then ip else im + 8 end) when z > 0 then q else q + 8 end as f from zc),
-pixels as (select {keep}, {_sql_spread("x", o)} + 2 * {_sql_spread("y", o)} + f * {n * n} as pix from zd)"""
+    return f"""{name}_a as (select *, sin(radians(lat)) as z, fmod(fmod(radians(lon), 2 * pi()) + 2 * pi(), 2 * pi()) * (2 / pi()) as t from {source}),
+{name}_b as (select *, floor((t + 0.5) * {n} - z * {0.75 * n}::double)::bigint as jp, floor((t + 0.5) * {n} + z * {0.75 * n}::double)::bigint as jm, least(floor(t), 3)::bigint as q, sqrt((1 - abs(z)) * 3) * {n} as rr from {name}_a),
+{name}_c as (select *, jp // {n} as ip, jm // {n} as im, least(floor((t - q) * rr), {n - 1})::bigint as up, least(floor((1 - (t - q)) * rr), {n - 1})::bigint as um from {name}_b),
+{name}_d as (select *, case when abs(z) <= 2 / 3::double then jm % {n} when z > 0 then {n - 1} - um else up end as x, case when abs(z) <= 2 / 3::double then {n - 1} - jp % {n} when z > 0 then {n - 1} - up else um end as y,
+  case when abs(z) <= 2 / 3::double then (case when ip = im then (case when ip = 4 then 4 else ip + 4 end) when ip < im then ip else im + 8 end) when z > 0 then q else q + 8 end as f from {name}_c),
+{name} as (select {keep}, {_sql_spread("x", o)} + 2 * {_sql_spread("y", o)} + f * {n * n} as pix from {name}_d)"""
 
 
 def _sql_xyf(nside: int, pix: str = "pix") -> str:
@@ -375,7 +418,7 @@ def hp_resolution(spark, sf):
     return spark.createDataFrame(rows, "k int, npix long, area double, resol double")
 
 
-@query("hp_ring2nest")
+@query("hp_ring2nest", f"with map as (select i as pix, i from range(0, 3072) t(i)), {_sql_center('map', 16, 'i')} select row_number() over (order by round(lat, 9) desc, fmod(lon + 360, 360)) - 1 as ring, i as nest from centers")
 def hp_ring2nest(spark, sf):
     return spark.range(hp.nside2npix(16)).select(F.col("id").alias("ring"), hp.ring2nest(16, F.col("id")).alias("nest"))
 
@@ -434,7 +477,25 @@ def scatter(spark, sf):
     return maps.scatter(maps.full_sky(spark, NSIDE, 0.0), part_map(spark, sf).groupBy("pix").agg(F.max("value").alias("value")))
 
 
-@query("raster")
+@query("on_footprint", f"with {_MAP}, f as (select i // 2 * 3 as pix from range(0, 3000) t(i)), up as (select pix, max(value) as value from map group by pix) select f.pix, value from f left join up using (pix)")
+def on_footprint(spark, sf):
+    """Gather: a footprint with repeats and pixels without a value."""
+    foot = spark.range(3000).select((F.floor(F.col("id") / 2) * 3).alias("pix"))
+    return maps.on_footprint(foot, part_map(spark, sf).groupBy("pix").agg(F.max("value").alias("value")))
+
+
+@query("footprint_sets", f"with {_MAP}, a as (select distinct pix from map), b as (select i as pix from range(0, 12288, 3) t(i)) select * from (select pix, 'union' as kind from (select * from a union select * from b)) union all select pix, 'both' from (select * from a intersect select * from b) union all select pix, 'less' from (select * from a except select * from b)")
+def footprint_sets(spark, sf):
+    a, b = part_map(spark, sf).select("pix").distinct(), spark.range(0, hp.nside2npix(NSIDE), 3).withColumnRenamed("id", "pix")
+    kinds = (("union", a.union(b).distinct()), ("both", a.intersect(b)), ("less", a.subtract(b)))
+    out = None
+    for kind, x in kinds:
+        x = x.withColumn("kind", F.lit(kind))
+        out = x if out is None else out.unionAll(x)
+    return out
+
+
+@query("raster", f"with {_CUST}, {_sql_ang2pix('cust', 8, 'c_custkey')}, n as (select i as pix, count(c_custkey) as value from range(0, 768) t(i) left join pixels on pix = i group by 1), cells as (select i % 90 as cx, i // 90 as cy, -180 + (i % 90 + 0.5::double) * 4 as lon, -90 + (i // 90 + 0.5::double) * 4 as lat from range(0, 4050) t(i)), {_sql_ang2pix('cells', 8, 'cx, cy', 'image')} select cx as x, cy as y, pix, value from image join n using (pix)")
 def raster(spark, sf):
     density = maps.density_map(customers(spark, sf), maps.full_sky(spark, 8), 8)
     return maps.raster(spark, density.withColumnRenamed("n", "value"), 8, (-180.0, 180.0, -90.0, 90.0), (90, 45))
@@ -489,27 +550,52 @@ def _numbered(spark: SparkSession, sf: str) -> DataFrame:
     return vectors(spark, sf).withColumn("i", F.col("vec_id"))
 
 
-@query("som_batch_train")
+def _weights(spark: SparkSession, som: Som, digits: int = 6) -> DataFrame:
+    return spark.createDataFrame([(k, d + 1, round(float(x), digits) + 0.0) for k, w in enumerate(som.weights) for d, x in enumerate(w)], "neuron int, k int, w double")
+
+
+_GRID2 = "(power(a.i // 4 - b.i // 4, 2) + power(a.i % 4 - b.i % 4, 2))"
+
+
+def _sql_epochs(n: int) -> str:
+    """CTEs b0 to bn (neuron, w): the map after each epoch of batch training."""
+    out = ["b0 as materialized (select neuron, w from book)"]
+    for e in range(n):
+        sigma = 2.0 / (1 + 2.0 * e / n)
+        out.append(
+            f"w{e} as (select vec_id, any_value(v) as v, min({{'d': list_distance(v, w), 'k': neuron}}).k as neuron from v, b{e} group by vec_id), "
+            f"c{e} as (select neuron, k, sum(x) as x, count(*) as c from (select neuron, unnest(range(1, len(v) + 1)) as k, unnest(v) as x from w{e}) group by all), "
+            f"b{e + 1} as materialized (select neuron, list(w order by k) as w from (select a.i::int as neuron, k, sum(exp(-{_GRID2} / {2 * sigma**2}) * x) / sum(exp(-{_GRID2} / {2 * sigma**2}) * c) as w from range(16) a(i), range(16) b(i) join c{e} on c{e}.neuron = b.i group by a.i, k) group by neuron)"
+        )
+    return ", ".join(out)
+
+
+@query("som_batch_train", f"with {_BOOK}, {_sql_epochs(3)} select neuron, unnest(range(1, len(w) + 1))::int as k, round(unnest(w), 6) + 0::double as w from b3")
 def som_batch_train(spark, sf):
-    return fixed_map(spark, sf).train(vectors(spark, sf), "v", n_epochs=3).frame(spark)
+    return _weights(spark, fixed_map(spark, sf).train(vectors(spark, sf), "v", n_epochs=3))
 
 
-@query("som_batch_iter")
+@query("som_batch_iter", f"with {_DIST}, rows as (select vec_id, neuron as best, 2 / (1 + 2 * vec_id / 200.0::double) as s, unnest(range(1, len(v) + 1)) as k, unnest(v) as x from won where vec_id < 200) select a.i::int as neuron, k::int as k, round(sum(exp(-{_GRID2.replace('b.i', 'best')} / (2 * s * s)) * x) / sum(exp(-{_GRID2.replace('b.i', 'best')} / (2 * s * s))), 6) + 0::double as w from range(16) a(i), rows group by a.i, k")
 def som_batch_iter(spark, sf):
-    return fixed_map(spark, sf).train(_numbered(spark, sf), "v", n_vectors=200, order="i").frame(spark)
+    return _weights(spark, fixed_map(spark, sf).train(_numbered(spark, sf), "v", n_vectors=200, order="i"))
 
 
-@query("som_online")
+@query("som_online", f"""with recursive {_BOOK}, numbered as materialized (select row_number() over (order by vec_id) as i, v from v), run as (select 0::bigint as i, (select list(w order by neuron) from book) as ws union all
+  select i, list_transform(range(0, 16), lambda a: list_transform(range(1, len(v) + 1), lambda k: ws[a + 1][k] + 0.3 * exp(-(power(a // 4 - best // 4, 2) + power(a % 4 - best % 4, 2)) / 8) * (v[k] - ws[a + 1][k]))) as ws
+  from (select n.i, n.v, run.ws, list_position(list_transform(run.ws, lambda w: list_distance(w, n.v)), list_min(list_transform(run.ws, lambda w: list_distance(w, n.v)))) - 1 as best from run join numbered n on n.i = run.i + 1)),
+last as (select ws from run order by i desc limit 1), each as (select unnest(range(0, 16))::int as neuron, unnest(ws) as w from last)
+select neuron, unnest(range(1, len(w) + 1))::int as k, round(unnest(w), 6) + 0::double as w from each""")
 def som_online(spark, sf):
     som = fixed_map(spark, sf)
     som.mode = "online"
-    return som.train(_numbered(spark, sf), "v", n_epochs=1, order="i").frame(spark)
+    return _weights(spark, som.train(_numbered(spark, sf), "v", n_epochs=1, order="i"))
 
 
-@query("som_pca")
+@query("som_pca", f"with {_SYS}, {_COMPONENTS} select (i * 5 + j)::int as neuron, (va.k + 1)::int as k, round(i / 4.0::double * va.x + j / 4.0::double * vb.x, 6) + 0::double as w from range(5) a(i), range(5) b(j), va join vb using (k)")
 def som_pca(spark, sf):
+    """Signs of the components are free; here their largest entries are positive."""
     s = systematics(spark, sf).withColumn("v", F.array(*DIMS))
-    return Som(5, 5, 4, "hexagonal").train_pca(s, "v").frame(spark)
+    return _weights(spark, Som(5, 5, 4, "hexagonal", np.float64).train_pca(s, "v", positive=True))
 
 
 @query("som_hyperparams")
@@ -524,7 +610,16 @@ def som_distance_map(spark, sf):
     return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(u)], "neuron int, value double")
 
 
-@query("cluster_ids")
+def _sql_clusters(source: str, n: int, rows: int) -> str:
+    """CTEs from ``source`` (neuron, w) to clusters (neuron, cluster): complete linkage, one merge a step."""
+    steps = [f"far as materialized (select a.neuron as p, b.neuron as q, list_distance(a.w, b.w) as d from {source} a, {source} b)", f"l0 as materialized (select neuron, neuron as g from {source})"]
+    for i in range(rows - n):
+        steps.append(f"m{i} as materialized (select a.g as keep, b.g as gone from far join l{i} a on a.neuron = p join l{i} b on b.neuron = q where a.g < b.g group by 1, 2 order by max(d), 1, 2 limit 1)")
+        steps.append(f"l{i + 1} as materialized (select neuron, case when g = gone then keep else g end as g from l{i}, m{i})")
+    return ", ".join([*steps, f"clusters as materialized (select neuron, (dense_rank() over (order by f) - 1)::int as cluster from (select neuron, min(neuron) over (partition by g) as f from l{rows - n}))"])
+
+
+@query("cluster_ids", f"with {_BOOK}, {_sql_clusters('book', 5, 16)} select neuron, cluster from clusters")
 def cluster_ids(spark, sf):
     som = fixed_map(spark, sf)
     return spark.createDataFrame([(k, int(c)) for k, c in enumerate(cluster.clusterize(som.weights, 5))], "neuron int, cluster int")
@@ -561,9 +656,25 @@ def gndm_visibility(spark, sf):
     return out.select("vec_id", "neuron", *(r(c).alias(c) for c in ("gndm", "gndc", "gndcm", "visibility")))
 
 
-@query("gnd_clustered")
+_BY_CLUSTER = f"{_GND}, {_sql_clusters('book', 4, 16)}, gc as (select cluster, avg(cat) / avg(foot) as gnd from g join clusters using (neuron) group by 1), cmap as (select fix.*, gc.gnd as gndm, (gc.gnd - m) / m as gndcm, (1 + (gc.gnd - m) / m) * coverage as visibility from nb, fix join clusters using (neuron) join gc using (cluster))"
+
+
+@query("gnd_clustered", f"with {_BY_CLUSTER} select vec_id, neuron, round(gndm, 6) as gndm, round(gndcm, 6) as gndcm, round(visibility, 6) + 0::double as visibility from cmap")
 def gnd_clustered(spark, sf):
-    return cleaning.SkyCleaner(sky(spark, sf), 32).use(fixed_map(spark, sf)).compute_clustered_gndm(4).maps().select("vec_id", "neuron", "gndm", "gndcm", "visibility")
+    """Every neuron of this map has rows, since each is one of the vectors."""
+    out = cleaning.SkyCleaner(sky(spark, sf), 32).use(fixed_map(spark, sf)).compute_clustered_gndm(4).maps(clustered=True)
+    return out.select("vec_id", "neuron", *(r(c).alias(c) for c in ("gndm", "gndcm", "visibility")))
+
+
+@query("catalog_rates", f"with {_BY_CLUSTER}, vis as (select fix.vec_id, (1 + (g.gnd - m) / m) * coverage as visibility from nb, fix join g using (neuron)) select fix.vec_id % 12288 as pix, round(2 * fix.density / (select avg(density) from fix), 6) as data, round(2 * fix.coverage, 6) as uniform, round(2 * vis.visibility, 6) + 0::double as visibility, round(2 * cmap.visibility, 6) + 0::double as clustered from fix join vis using (vec_id) join cmap using (vec_id)")
+def catalog_rates(spark, sf):
+    """Expected objects a pixel of the four kinds of random catalogs."""
+    c = cleaning.SkyCleaner(sky(spark, sf), 32).use(fixed_map(spark, sf)).compute_gndm().compute_clustered_gndm(4)
+    out = None
+    for kind in ("data", "uniform", "visibility", "clustered"):
+        one = c.rates(kind, 2.0).select("pix", r("value").alias(kind))
+        out = one if out is None else out.join(one, "pix")
+    return out
 
 
 @query("sky_clean")
@@ -655,8 +766,14 @@ def stream_stats(spark, sf):
 
     from skyloom.streaming.running import RunningStats
 
-    base = f"{(spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints').rstrip('/')}/skyloom-stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    base = f"{(shared or '/tmp/checkpoints').rstrip('/')}/skyloom-stream-{uuid.uuid4().hex}"
+    rows = table(spark, sf, "events")
+    source = spark.readStream.schema(rows.schema)
+    a_folder = any("/events.parquet/" in f for f in rows.inputFiles()[:1])
+    events = source.parquet(f"{sf}/events.parquet") if a_folder else source.option("pathGlobFilter", "events.parquet").parquet(sf)
     stats_ = RunningStats(spark, f"{base}/state")
     stats_.start(events, "value", f"{base}/checkpoint", "event_type").awaitTermination()
     out = stats_.result()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -16,7 +18,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_skyloom_shipped", False) or not os.path.isdir(_ROOT):
         return spark
-    target = os.path.join(tempfile.mkdtemp(prefix="skyloom-"), "skyloom_code.zip")
+    folder = tempfile.mkdtemp(prefix="skyloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    target = os.path.join(folder, "skyloom_code.zip")
     with zipfile.ZipFile(target, "w") as z:
         for top, _, names in os.walk(_ROOT):
             for name in names:

@@ -9,32 +9,35 @@ from pyspark.sql.streaming import StreamingQuery
 from skyloom.functions.numeric import finite
 from skyloom.operators.som import Som
 
-_STATE = "batch long, key string, n long, s double, q double, lo double, hi double"
+_STATE = "batch long, key string, n long, mean double, m2 double, lo double, hi double"
 
 
 class RunningStats:
-    """Partial sums of each micro-batch, appended under its batch number; replays of a batch overwrite it, so sums stay exact."""
+    """Count, mean and squares about the mean of each micro-batch, under its batch number; replays of a batch overwrite it."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
     def _append(self, part: DataFrame, batch: int) -> None:
-        part.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        part.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def start(self, stream: DataFrame, value: str, checkpoint: str, by: str | None = None) -> StreamingQuery:
         x = F.col(value).cast("double")
         key = F.lit("all") if by is None else F.col(by).cast("string")
 
         def merge(rows: DataFrame, batch: int) -> None:
-            self._append(rows.filter(finite(x)).groupBy(key.alias("key")).agg(F.count(x).alias("n"), F.sum(x).alias("s"), F.sum(x * x).alias("q"), F.min(x).alias("lo"), F.max(x).alias("hi")), batch)
+            self._append(rows.filter(finite(x)).groupBy(key.alias("key")).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"), F.min(x).alias("lo"), F.max(x).alias("hi")), batch)
 
         return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def result(self) -> DataFrame:
         """(key, n, mean, rms, std, minimum, maximum) of all batches so far."""
-        g = self.spark.read.schema(_STATE).parquet(self.path).groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.min("lo").alias("minimum"), F.max("hi").alias("maximum"))
-        var = F.greatest((F.col("q") - F.col("s") * F.col("s") / F.col("n")) / F.when(F.col("n") > 1, F.col("n") - 1), F.lit(0.0))
-        return g.select("key", "n", (F.col("s") / F.col("n")).alias("mean"), F.sqrt(F.col("q") / F.col("n")).alias("rms"), F.sqrt(var).alias("std"), "minimum", "maximum")
+        parts = self.spark.read.schema(_STATE).parquet(self.path)
+        total = parts.groupBy("key").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean"), F.min("lo").alias("minimum"), F.max("hi").alias("maximum"))
+        about = parts.select("key", F.col("n").alias("k"), F.col("mean").alias("m"), "m2").join(total, "key")
+        moved = about.groupBy("key", "n", "mean", "minimum", "maximum").agg(F.sum(F.col("m2") + F.col("k") * F.pow(F.col("m") - F.col("mean"), 2)).alias("m2"))
+        var = F.col("m2") / F.when(F.col("n") > 1, F.col("n") - 1)
+        return moved.select("key", "n", "mean", F.sqrt(F.col("mean") * F.col("mean") + F.col("m2") / F.col("n")).alias("rms"), F.sqrt(var).alias("std"), "minimum", "maximum")
 
 
 def activation_stream(stream: DataFrame, som: Som, vector: str, name: str, checkpoint: str) -> StreamingQuery:

@@ -1,3 +1,4 @@
+import json
 import os
 import sys
 
@@ -19,3 +20,12 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture(scope="session")
+def golden():
+    """Published numbers, kept in millionths."""
+    import numpy as np
+
+    with open(os.path.join(os.path.dirname(__file__), "goldens.json")) as f:
+        return {k: np.array(v["micro"], float).reshape(v["shape"]) / 1e6 for k, v in json.load(f).items()}

@@ -96,17 +96,25 @@ def test_pairs_match_brute_force(spark):
     kk = pairs.scalar_correlation(p, None, 20, 500, 5).orderBy("bin").collect()
     ww = (w[i] * w[j])[keep]
     assert np.allclose([r.xi for r in kk], np.bincount(k, ww * ww, 5) / np.bincount(k, ww, 5))
-    assert "NestedLoop" not in pairs.pairs(p, p, 20, 500, True)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in pairs.pairs(p, None, 20, 500)._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         pairs.correlation(p, None, 20, 500, 5, "peebles_hauser")
-
-
-def test_published_draw():
-    lon, lat = generate.sequential(1, list(range(12)), [float(k) for k in range(12)], 0)
-    assert len(lon) == 63
-    assert np.allclose(lon[:5], [143.03794086, 9.27174579, -22.03107032, -16.79844353, -33.41689499])
-    assert np.allclose(lat[:5], [10.86189489, -15.34457699, -12.66653481, -1.11959217, 5.41788274])
-    assert np.allclose((lon[-1], lat[-1]), (285.66875189, -51.31489195))
+    # a pair of catalogs: every kind of count in one join, against one count each
+    q = pairs.points(df.filter("i % 3 = 0"), F.col("lon") + 1, F.col("lat") * 0.9, F.col("w"), None, F.col("i"))
+    dd, rr, dr = (pairs.pair_counts(*x, 20, 500, 5).orderBy("bin").collect() for x in ((p, None), (q, None), (p, q)))
+    sums = [(sum(r.w for r in x.collect()), sum(r.w**2 for r in x.collect())) for x in (p, q)]
+    own = [0.5 * (s * s - s2) for s, s2 in sums]
+    cross = sums[0][0] * sums[1][0]
+    for name, form in (("peebles_hauser", lambda a, b, c: (a - b) / b), ("landy_szalay_1", lambda a, b, c: (a - 2 * c + b) / b), ("landy_szalay_2", lambda a, b, c: (a - 2 * c + b) / b)):
+        got_ = pairs.correlation(p, q, 20, 500, 5, name).orderBy("bin").collect()
+        assert np.allclose([r.xi for r in got_], [form(a.weight / own[0], b.weight / own[1], c.weight / cross) for a, b, c in zip(dd, rr, dr, strict=True)])
+    assert [r.npairs for r in pairs.pair_counts(q, p, 20, 500, 5).orderBy("bin").collect()] == [r.npairs for r in dr]
+    assert pairs.on_sky(4, spark.range(192), "id").count() == 192
+
+
+def test_published_draws(golden):
+    for name, got in (("density", generate.sequential(1, list(range(12)), [float(k) for k in range(12)], 0)), ("uniform", generate.sequential(1, list(range(12)), [2.0] * 12, 0)), ("full_sky", generate.sequential_fullsky(1, 2, 0))):
+        assert np.asarray(got).shape == golden[name].shape and np.allclose(got, golden[name], atol=2e-6), name
 
 
 def test_catalogs_don_t_depend_on_partitions(spark):

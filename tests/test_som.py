@@ -40,15 +40,14 @@ def test_winners(spark):
     assert square().winners(nan, "v").first().neuron == 0
 
 
-def test_batch_epoch(thousand):
-    som = square().train(thousand, "v", n_epochs=1)
-    assert np.allclose(som.centroids[0], [[0.5624336, 0.49446797, 0.4308011, 0.4966352], [0.5414143, 0.49651787, 0.45980114, 0.48850265], [0.5251235, 0.5002107, 0.49792755, 0.48182005], [0.5170565, 0.5048477, 0.54264647, 0.47786942]], rtol=1e-4)
-    assert len(som.quantization_errors) == 1
-
-
-def test_batch_rows(thousand):
-    som = square().train(thousand, "v", n_vectors=1000, order="i")
-    assert np.allclose(som.centroids[0, :2], [[0.66173524, 0.50246555, 0.38239083, 0.48251325], [0.572247, 0.51970875, 0.42774507, 0.4704419]], rtol=1e-4)
+def test_published_maps(thousand, golden):
+    for mode in ("batch", "online"):
+        for name, how in (("epoch", {"n_epochs": 1}), ("rows", {"n_vectors": 1000})):
+            som = square()
+            som.mode = mode
+            som.train(thousand, "v", order="i", **how)
+            assert np.allclose(som.centroids, golden[f"{mode}_{name}"], rtol=1e-4, atol=2e-6), (mode, name)
+            assert len(som.quantization_errors) == 1
 
 
 def test_online_matches_plain_loop(spark):
@@ -64,11 +63,17 @@ def test_online_matches_plain_loop(spark):
         som.train(frame(spark, x), "v")
 
 
-def test_pca(spark):
+def test_pca(spark, golden):
     som = Som(4, 4, 4, "square").train_pca(frame(spark, np.random.default_rng(0).random((25000, 4), np.float32)), "v", min_weight=-1.0, max_weight=1.0, scale_by_variance=False)
-    want = [[0.08333722, -0.00132656, -0.00008147, 0.00040534], [-0.00132656, 0.0838413, -0.00023584, -0.00005658], [-0.00008147, -0.00023584, 0.08299657, 0.00034864], [0.00040534, -0.00005658, 0.00034864, 0.0824224]]
-    assert np.allclose(som.cov_matrix, want, atol=1e-7)
-    assert np.allclose(np.abs(som.centroids[0, 0]), [0.7994139, 0.78366053, 0.83449596, 0.22456639], atol=1e-5)
+    assert np.allclose(som.cov_matrix, golden["covariance"], atol=1e-6)
+
+    def same(got, want):
+        """Up to the signs of the two components, which are free: a sign turns the grid around."""
+        return any(np.allclose(x, want, atol=1e-5) for x in (got, got[::-1], got[:, ::-1], got[::-1, ::-1]))
+
+    assert same(som.centroids, golden["pca"])
+    assert same(Som(4, 4, 4, "square").train_from_cov(som.cov_matrix, -1.0, 1.0, True, True).centroids, golden["pca_cdf"])
+    assert np.allclose(Som(2, 2, 4).train_from_cov(som.cov_matrix, positive=True).weights[3], Som(2, 2, 4).train_from_cov(som.cov_matrix, scale_by_variance=False, positive=True).weights[3])
     cdf = Som(4, 4, 4, "square").train_from_cov(som.cov_matrix, apply_cdf=True)
     assert 0 < cdf.weights.min() < cdf.weights.max() < 1
 
@@ -81,6 +86,8 @@ def test_save_and_load(spark, tmp_path):
     assert np.array_equal(back.weights, som.weights) and (back.topology, back.dtype, back.sigma) == (som.topology, som.dtype, som.sigma)
     chunks = models.from_chunks(spark, lambda: lambda: iter([np.ones((2, 3)), np.zeros((1, 3))]), str(tmp_path / "chunks"))
     assert [(r.row_id, r.v[0]) for r in chunks.orderBy("row_id").collect()] == [(0, 1.0), (1, 1.0), (2, 0.0)]
+    again = models.from_chunks(spark, lambda: lambda: iter([np.ones((2, 3)), np.zeros((1, 3))]), str(tmp_path / "chunks"))
+    assert again.count() == 3  # a second run replaces the first one
 
 
 def test_clusters(spark):
@@ -104,5 +111,40 @@ def test_cleaning(spark):
     total = sum(r.corrected for r in out)
     mean = total / 192
     assert all(abs(r.visibility - (1 + (r.gndm - mean) / mean) * r.coverage) < 1e-9 for r in out)
-    assert c.compute_clustered_gndm(2).maps().count() == 192
-    assert c.generate("visibility", 2.0, 1).columns == ["ra", "dec"]
+    visible = {r.pix: r.visibility for r in out}
+    assert c.compute_clustered_gndm(2).maps(clustered=True).count() == 192 and c.maps().count() == 192
+    want = {"uniform": {r.pix: 2 * r.coverage for r in out}, "visibility": {p: 2 * v for p, v in visible.items()}, "data": {r.pix: 2 * r.density / np.mean([x.density for x in out]) for r in out}}
+    for kind, rates in want.items():
+        assert all(abs(r.value - rates[r.pix]) < 1e-9 for r in c.rates(kind, 2.0).collect()), kind
+        n, mean = c.generate(kind, 2.0, 1).count(), sum(max(x, 0) for x in rates.values())
+        assert abs(n - mean) < 5 * mean**0.5, kind
+    assert c.generate("clustered", 2.0, 1).columns == ["ra", "dec"]
+    with pytest.raises(ValueError):
+        c.rates("other", 2.0)
+
+
+def test_a_pipeline_comes_back(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    rows = [(p, [float(t) for t in rng.random(3)], float(p % 3 + 1), 0.5) for p in range(192)]
+    df = spark.createDataFrame(rows, "pix long, sys array<double>, n double, cover double")
+    c = SkyCleaner(df, 4, "sys", "n", "cover").train(2, 2, 3, "square", n_epochs=1).compute_gndm()
+    c.som.cov_matrix, c.som.eigenvalues, c.som.eigenvectors = np.eye(3), np.ones(3), np.eye(3)
+    models.save_cleaner(c, str(tmp_path / "sky"))
+    back = models.load_cleaner(spark, str(tmp_path / "sky"))
+    key = lambda rows: sorted((r.pix, r.neuron, round(r.visibility, 9), tuple(r.sys)) for r in rows)
+    assert key(back.maps().collect()) == key(c.maps().collect()) and back.nside == 4
+    assert np.array_equal(back.som.weights, c.som.weights) and np.array_equal(back.som.eigenvectors, np.eye(3))
+    with pytest.raises(ValueError):
+        models.save_cleaner(SkyCleaner(df, 4, "sys", "n", "cover"), str(tmp_path / "none"))
+
+
+def test_cells_and_borders():
+    from skyloom.operators.cluster import borders
+
+    for topology in ("square", "hexagonal"):
+        cells = Som(3, 2, 2, topology).cells()
+        assert [k for k, *_ in cells] == list(range(6)) and all(len(c) == (4 if topology == "square" else 6) for *_, c in cells)
+        assert all(abs(np.mean([y for y, _ in c]) - y0) < 1e-9 and abs(np.mean([x for _, x in c]) - x0) < 1e-9 for _, y0, x0, c in cells)
+        ids = np.array([0, 0, 0, 1, 1, 1])
+        around = Som(3, 2, 2, topology).neighbours()
+        assert borders(3, 2, ids, topology) == [(a, b) for a, b in around if a < b and ids[a] != ids[b]] != []
