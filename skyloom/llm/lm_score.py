@@ -1,12 +1,15 @@
 """Operator 2, language-model scores from a log-frequency Bloom filter of n-gram counts.
 
 Counting: a task sorts its tokens' fingerprints and sends each part (a range of fingerprints) one compressed block of them with counts; the
-parts, twice as many as scan tasks, merge blocks. So every n-gram of the training texts is counted, a row is a block and not an n-gram, and no
-task's memory depends on how often a word occurs.
+parts, twice as many as scan tasks and MOST_PARTS at most, merge blocks as they come. So every n-gram of the training texts is counted, a row
+is a block and not an n-gram, and a part's memory depends on its distinct n-grams, not on how often they occur.
 
 Filter: an n-gram counted c times enters at the levels 0 to log2(c) - cutoff, HASHES bits each, in its part's segment. A reader probes one level
 after the other until one is missing and so gets the count up to a factor of two. The model's cutoff is 0 and its filter has BITS bits for each
-entry, so every n-gram counts, those that occur once too, and what is broadcast grows with the number of distinct n-grams.
+entry, so every n-gram counts, those that occur once too, and the filter grows with the number of distinct n-grams. It is broadcast in groups of
+segments of PASS_BYTES at most, one after the other: each pass over the texts probes one group and adds its levels to those found before
+(a byte for each token and one for each bigram, in a written table), so a larger corpus costs passes and not memory. Scores and shares are
+computed from these levels alone.
 
 Score: log10 of the product of  w * c(v, w) / c(v) + (1 - w * f(c(v))) * p(w),  p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),  over tokens w after v; a
 text's first token follows an end token. f is the share of tokens after contexts of that frequency whose bigram is in the filter, over all
@@ -30,13 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.llm.scratch import materialize
-from skyloom.llm.textops import Words, mix, segment_sum, slices
+from skyloom.llm.textops import Words, mix, raw, segment_sum, slices
 from skyloom.shipping import ship
 
 HEAD = 1 << 18
 BITS, HASHES = 8, 4
 LEVELS = 48
 FLUSH_TOKENS = 2 << 20
+#: Parts of all n-grams, entries of a part that are held unmerged, and bytes of the filter that are broadcast at once.
+MOST_PARTS, HELD, PASS_BYTES = 4096, 4 << 20, 64 << 20
 #: Bytes of text in a slice; a token takes some 150 bytes of arrays.
 SLICE = 1 << 20
 WEIGHT = 0.4
@@ -122,16 +127,17 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
         yield from flush()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, blocks = None, []
+        at, held = None, []
+
+        def collapse() -> None:
+            h, c = np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+            held[:] = [summed(h, c)]
 
         def close() -> Iterator[pa.RecordBatch]:
             if at is None:
                 return
-            both = [unpack(b) for b in blocks]
-            blocks.clear()
-            h, c = np.concatenate([x for x, _ in both]), np.concatenate([y for _, y in both])
-            both.clear()
-            h, c = summed(h, c)
+            collapse()
+            h, c = held.pop()
             levels = np.bincount(np.log2(c.astype(float)).astype(int), minlength=LEVELS)
             yield pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([len(h)]), pa.array([int(c.sum())]), pa.array([levels.tolist()], pa.list_(pa.int64())), pa.array([pack(h, c)], pa.binary())], names=["n", "part", "words", "tokens", "levels", "block"])
 
@@ -139,8 +145,10 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
             for n, p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if (n, p) != at:
                     yield from close()
-                    at, blocks = (n, p), []
-                blocks.append(b.as_py())
+                    at = (n, p)
+                held.append(unpack(b.as_py()))
+                if sum(len(h) for h, _ in held[1:]) > max(HELD, len(held[0][0])):
+                    collapse()
         yield from close()
 
     sent = train.mapInArrow(count, "n int, part int, block binary").repartition(parts, "n", "part").sortWithinPartitions("n", "part")
@@ -148,12 +156,12 @@ def counted(train: DataFrame, parts: int) -> DataFrame:
 
 
 class Filter:
-    """The log-frequency Bloom filter: one segment of ``bits`` bits for each part."""
+    """The log-frequency Bloom filter, or its segments of the parts from ``lo`` to below ``hi``; a segment has ``bits`` bits."""
 
-    def __init__(self, parts: int, bits: int, cutoff: int):
-        self.parts, self.bits, self.cutoff = parts, bits, cutoff
+    def __init__(self, parts: int, bits: int, cutoff: int, lo: int = 0, hi: int | None = None):
+        self.parts, self.bits, self.cutoff, self.lo, self.hi = parts, bits, cutoff, lo, parts if hi is None else hi
         self.stride = (bits + 7) // 8
-        self.data = np.zeros(parts * self.stride, np.uint8)
+        self.data = np.zeros((self.hi - lo) * self.stride, np.uint8)
 
     @staticmethod
     def seeds(h: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,10 +182,12 @@ class Filter:
                 a = a + step
         return np.packbits(bits, bitorder="little")
 
-    def count(self, h: np.ndarray) -> np.ndarray:
-        """Counts up to a factor of two: 0, or 1.4 * 2 ** (level + cutoff) for the last level whose HASHES bits are all set."""
-        out, alive = np.zeros(len(h)), np.arange(len(h))
-        base = _part(h, self.parts).astype(np.int64) * self.stride
+    def level(self, h: np.ndarray) -> np.ndarray:
+        """For each n-gram 0, or 1 and the last level whose HASHES bits are all set; 0 for those of other segments."""
+        out = np.zeros(len(h), np.uint8)
+        part = _part(h, self.parts).astype(np.int64)
+        alive = np.arange(len(h)) if (self.lo, self.hi) == (0, self.parts) else np.flatnonzero((part >= self.lo) & (part < self.hi))
+        h, base = h[alive], (part[alive] - self.lo) * self.stride
         for level in range(LEVELS):
             a, step = self.seeds(h, level)
             left = np.arange(len(h))
@@ -188,64 +198,76 @@ class Filter:
             alive, h, base = alive[left], h[left], base[left]
             if not len(alive):
                 break
-            out[alive] = 1.4 * 2.0 ** (level + self.cutoff)
+            out[alive] = level + 1
         return out
 
+    def count(self, h: np.ndarray) -> np.ndarray:
+        """Counts up to a factor of two: 0, or 1.4 * 2 ** (level + cutoff)."""
+        return counts_of(self.level(h), self.cutoff)
+
+    def levels(self, seq: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """level() of each token, looked up once each, and of each bigram."""
+        word, at = np.unique(seq, return_inverse=True)
+        before = before.copy()
+        before[first[:-1]] = END
+        return self.level(word)[at], self.level(bigrams(before, seq))
+
+
+def counts_of(level: np.ndarray, cutoff: int = 0) -> np.ndarray:
+    table = np.concatenate([[0.0], 1.4 * 2.0 ** (np.arange(256) + cutoff)])
+    return table[level]
+
 
 class Model:
-    """What workers need: the filter, totals, the frequent words' exact counts and the shares f by the level of a context's count."""
+    """What scoring needs besides levels: totals, the end token's level and the shares f by the level of a context's count."""
 
-    def __init__(self, grams: Filter, n: int, v: int, head: tuple[np.ndarray, np.ndarray]):
-        self.grams, self.n, self.v, self.head = grams, n, v, head
+    def __init__(self, n: int, v: int, end: int):
+        self.n, self.v, self.end = n, v, end
         self.share = np.zeros(LEVELS)
 
     @staticmethod
     def level(c: np.ndarray) -> np.ndarray:
         return np.log2(np.maximum(c, 1.0)).astype(int)
 
-    def counts(self, seq: np.ndarray, before: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """c(w), c(v) and c(v, w) by the filter; words are looked up once each."""
-        word, at = np.unique(seq, return_inverse=True)
-        c = self.grams.count(word)
-        one = c[at]
+    def counts(self, uni: np.ndarray, bi: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """c(w), c(v) and c(v, w) of tokens from their levels."""
+        one = counts_of(uni)
         context = np.empty_like(one)
         context[1:] = one[:-1]
-        end = self.grams.count(np.array([END]))[0]
-        context[first[:-1]] = end
-        before = before.copy()
-        before[first[:-1]] = END
-        return one, context, np.minimum(self.grams.count(bigrams(before, seq)), context)
+        context[first[:-1]] = counts_of(np.array([self.end]))[0]
+        return one, context, np.minimum(counts_of(bi), context)
 
-    def score(self, seq: np.ndarray, before: np.ndarray, first: np.ndarray) -> np.ndarray:
-        one, context, both = self.counts(seq, before, first)
+    def score(self, uni: np.ndarray, bi: np.ndarray, first: np.ndarray) -> np.ndarray:
+        one, context, both = self.counts(uni, bi, first)
         p = (one + 0.1) / (self.n + 0.1 * (self.v + 1))
         known = context > 0
         p = np.where(known, WEIGHT * both / np.where(known, context, 1.0) + (1 - WEIGHT * self.share[self.level(context)] * known) * p, p)
         return segment_sum(np.log10(np.minimum(p, 1.0)), first)
 
 
-def _filter(merged: DataFrame, parts: int) -> Filter:
-    """The filter, built by parts on the executors; its segments come to the driver, about BITS bits an entry together."""
+def filters(merged: DataFrame, parts: int, most: int | None = None) -> Iterator[Filter]:
+    """The filter in groups of segments of ``most`` bytes (PASS_BYTES); its segments are built on the executors, one group at a time comes to the driver."""
     spread = merged.select(F.posexplode("levels").alias("l", "k")).groupBy("l").agg(F.sum("k").alias("k")).collect()  # LEVELS rows
     words = np.zeros(LEVELS)
     for r in spread:
         words[r.l] = r.k
     entries = float((words * (np.arange(LEVELS) + 1)).sum())
-    grams = Filter(parts, int(max(64, entries * BITS * 1.05 / parts + 64)), 0)
-    shape = (parts, grams.bits, grams.cutoff)
+    bits = int(max(64, entries * BITS * 1.05 / parts + 64))
+    step = max(1, (PASS_BYTES if most is None else most) // ((bits + 7) // 8))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter.__new__(Filter)
-        own.parts, own.bits, own.cutoff = shape
-        own.stride = (own.bits + 7) // 8
+        own = Filter(parts, bits, 0, 0, 0)
         for batch in batches:
             for i, b in enumerate(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([own.segment(*unpack(b.as_py())).tobytes()], pa.binary())], names=["part", "bits"])
 
-    for r in merged.select("part", "block").mapInArrow(build, "part int, bits binary").toLocalIterator():
-        at = r.part * grams.stride
-        grams.data[at : at + grams.stride] |= np.frombuffer(r.bits, np.uint8)
-    return grams
+    for lo in range(0, parts, step):
+        grams = Filter(parts, bits, 0, lo, min(parts, lo + step))
+        group = merged.filter((F.col("part") >= lo) & (F.col("part") < grams.hi)).select("part", "block")
+        for r in group.mapInArrow(build, "part int, bits binary").toLocalIterator():
+            at = (r.part - lo) * grams.stride
+            grams.data[at : at + grams.stride] |= np.frombuffer(r.bits, np.uint8)
+        yield grams
 
 
 def _rows(merged: DataFrame, lo: int, hi: int | None) -> DataFrame:
@@ -261,10 +283,10 @@ def _rows(merged: DataFrame, lo: int, hi: int | None) -> DataFrame:
     return merged.filter("n = 1").select("block").mapInArrow(expand, "h long, c long")
 
 
-def trained(train: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model of the column _text of all of ``train``; its merged counts, and the count from which words are in the head."""
-    spark = train.sparkSession
-    parts = max(16, 2 * train.rdd.getNumPartitions())
+def trained(train: DataFrame) -> tuple[DataFrame, int, int, int, tuple[np.ndarray, np.ndarray], int]:
+    """Merged counts of the column _text of all of ``train``, how many parts they have, N, V, the frequent words with counts, and the count from
+    which words are among these."""
+    parts = min(MOST_PARTS, max(16, 2 * train.rdd.getNumPartitions()))
     merged = materialize(counted(train, parts), "ngrams")
     one = merged.filter("n = 1")
     n, v = one.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first()
@@ -273,46 +295,21 @@ def trained(train: DataFrame) -> tuple[Model, DataFrame, int]:
     rows = _rows(merged, least, None).toPandas()  # HEAD rows at most
     order = np.argsort(rows.h.to_numpy().view(np.uint64)) if len(rows) else np.empty(0, int)
     head = rows.h.to_numpy(np.int64).view(np.uint64)[order], rows.c.to_numpy(np.int64)[order]
-    model = Model(_filter(merged, parts), int(n), int(v), head)
-    _fit(model, train, spark)
-    return model, merged, least
-
+    return merged, parts, int(n), int(v), head, least
 
-def _fit(model: Model, train: DataFrame, spark: SparkSession) -> None:
-    """f by levels, over all training texts."""
-    sent = spark.sparkContext.broadcast(model)
-
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, kept = np.zeros(LEVELS), np.zeros(LEVELS)
-        own: Model = sent.value
-        for whole in batches:
-            for batch in slices(whole, "_text", SLICE):
-                _, context, both = own.counts(*tokens(batch.column(0)))
-                level = own.level(context)
-                seen += np.bincount(level, context > 0, LEVELS)
-                kept += np.bincount(level, both > 0, LEVELS)
-        yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(seen), pa.array(kept)], names=["l", "seen", "kept"])
 
-    for r in train.select("_text").mapInArrow(look, "l int, seen double, kept double").groupBy("l").agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept")).collect():  # LEVELS rows
-        model.share[r.l] = r.kept / r.seen if r.seen else 0.0
+def _binary(values: np.ndarray, first: np.ndarray) -> pa.Array:
+    """A byte string a text."""
+    return pa.Array.from_buffers(pa.binary(), len(first) - 1, [None, pa.py_buffer(first.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
-def scored(docs: DataFrame, held_out: str = "_held", text: str = "_text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Train on rows where the column ``held_out`` is false and score all rows: the columns ``carry`` and held_out, n_tokens, n_known,
-    train_tokens, base_score, score."""
-    ship(docs.sparkSession)
-    few = docs.select(*(f"`{c}`" for c in carry), docs[f"`{held_out}`"].alias("_held"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("_text"))
-    key = F.concat_ws("", *(F.col(f"`{c}`").cast("string") for c in carry))
-    train = few.filter(~F.col("_held")).select("_text", key.alias("_key"))
-    model, merged, least = trained(train.select("_text", "_key"))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    k = len(carry)
-    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in few.schema[: k + 1]] + ["n_tokens long, known long, base double, score double, rest array<long>, times array<int>"])
-    scale = float(model.n + 0.1 * (model.v + 1))
+def _looked(rows: DataFrame, k: int, group: Filter, head: tuple[np.ndarray, np.ndarray], scale: float) -> DataFrame:
+    """The first pass over (carry..., _held, _text): exact counts of frequent words, the other words with how often each occurs, and levels."""
+    sent = rows.sparkSession.sparkContext.broadcast((group, head))
+    out = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["n_tokens long, known long, base double, rest array<long>, times array<int>, uni binary, bi binary"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Model = sent.value
-        head, count = own.head
+        own, (head, count) = sent.value
         for whole in batches:
             for batch in slices(whole, "_text", SLICE):
                 seq, before, first = tokens(batch.column(k + 1))
@@ -330,33 +327,101 @@ def scored(docs: DataFrame, held_out: str = "_held", text: str = "_text", carry:
                     times.append(c)
                     ends[i + 1] = len(h)
                 ends = pa.array(np.cumsum(ends), pa.int32())
+                uni, bi = own.levels(seq, before, first)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *batch.columns[: k + 1],
+                        *batch.columns,
                         pa.array(np.diff(first), pa.int64()),
                         pa.array(segment_sum(found.astype(np.int64), first)),
                         pa.array(segment_sum(logs, first)),
-                        pa.array(own.score(seq, before, first)),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.uint64), *rest]).view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.empty(0, np.int64), *times]), pa.int32())),
+                        _binary(uni, first),
+                        _binary(bi, first),
                     ],
-                    names=[*batch.schema.names[: k + 1], "n_tokens", "known", "base", "score", "rest", "times"],
+                    names=[*batch.schema.names, "n_tokens", "known", "base", "rest", "times", "uni", "bi"],
                 )
 
-    passed = few.mapInArrow(run, out).withColumn("_row", F.monotonically_increasing_id())
-    table = materialize(passed, "scored")
+    return rows.mapInArrow(run, out).withColumn("_row", F.monotonically_increasing_id())  # fixed once the table is written
+
+
+def _probed(table: DataFrame, group: Filter) -> DataFrame:
+    """Another pass: the levels that this group of segments has."""
+    sent = table.sparkSession.sparkContext.broadcast(group)
+    names = table.columns
+    text, uni, bi = (names.index(c) for c in ("_text", "uni", "bi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "_text", SLICE):
+                seq, before, first = tokens(batch.column(text))
+                more = [np.maximum(x, raw(batch.column(i))[0]) for x, i in zip(sent.value.levels(seq, before, first), (uni, bi), strict=True)]
+                columns = list(batch.columns)
+                columns[uni], columns[bi] = (_binary(x, first) for x in more)
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return table.mapInArrow(run, table.schema)
+
+
+def _fit(model: Model, table: DataFrame) -> None:
+    """f by levels, over all training texts."""
+    sent = table.sparkSession.sparkContext.broadcast(model)
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, kept = np.zeros(LEVELS), np.zeros(LEVELS)
+        own: Model = sent.value
+        for batch in batches:
+            uni, first = raw(batch.column(0))
+            _, context, both = own.counts(uni, raw(batch.column(1))[0], first)
+            level = own.level(context)
+            seen += np.bincount(level, context > 0, LEVELS)
+            kept += np.bincount(level, both > 0, LEVELS)
+        yield pa.RecordBatch.from_arrays([pa.array(range(LEVELS), pa.int32()), pa.array(seen), pa.array(kept)], names=["l", "seen", "kept"])
+
+    levels = table.filter(~F.col("_held")).select("uni", "bi").mapInArrow(look, "l int, seen double, kept double")
+    for r in levels.groupBy("l").agg(F.sum("seen").alias("seen"), F.sum("kept").alias("kept")).collect():  # LEVELS rows
+        model.share[r.l] = r.kept / r.seen if r.seen else 0.0
+
+
+def scored(docs: DataFrame, held_out: str = "_held", text: str = "_text", carry: tuple[str, ...] = ("doc_id",), pass_bytes: int | None = None) -> DataFrame:
+    """Train on rows where the column ``held_out`` is false and score all rows: the columns ``carry`` and held_out, n_tokens, n_known,
+    train_tokens, base_score, score."""
+    spark = ship(docs.sparkSession)
+    few = docs.select(*(f"`{c}`" for c in carry), docs[f"`{held_out}`"].alias("_held"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("_text"))
+    merged, parts, n, v, head, least = trained(few.filter(~F.col("_held")).select("_text"))
+    scale = float(n + 0.1 * (v + 1))
+    table, end = None, 0
+    for group in filters(merged, parts, pass_bytes):
+        end = max(end, int(group.level(np.array([END]))[0]))
+        last = group.hi == parts
+        table = _looked(few, len(carry), group, head, scale) if table is None else _probed(table, group)
+        table = materialize(table.drop("_text") if last else table, "scored")
+    model = Model(n, v, end)
+    _fit(model, table)
+    sent = spark.sparkContext.broadcast(model)
+    keyed = table.select(*(f"`{c}`" for c in table.columns if c not in ("rest", "times", "uni", "bi")), "uni", "bi")
+    names = keyed.columns[:-2]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uni, first = raw(batch.column(len(names)))
+            got = sent.value.score(uni, raw(batch.column(len(names) + 1))[0], first)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(got)], names=[*names, "score"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keyed.schema[: len(names)])
+    done = keyed.mapInArrow(score, f"{kinds}, score double")
     rest = table.select("_row", F.explode(F.arrays_zip("rest", "times")).alias("x")).select("_row", F.col("x.rest").alias("h"), F.col("x.times").alias("times"))
     rare = _rows(merged, 1, least)
     found = rest.join(rare, "h", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     log = F.col("times") * F.log10((F.col("c") + 0.1) / F.lit(scale))
     sums = found.groupBy("_row").agg(F.sum(log).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("few"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return table.join(sums, "_row", "left").select(
+    return done.join(sums, "_row", "left").select(
         *(f"`{c}`" for c in carry),
         F.col("_held").alias("held_out"),
         "n_tokens",
         (F.col("known") + zero("few")).cast("long").alias("n_known"),
-        F.lit(model.n).cast("long").alias("train_tokens"),
+        F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + zero("more")).alias("base_score"),
         "score",
     )

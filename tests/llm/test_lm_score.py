@@ -62,14 +62,81 @@ def test_empty(empty):
     assert op.scored(empty.withColumn("_held", F.lit(False)), text="text").count() == 0
 
 
-def test_shares_come_from_all_training_texts(spark):
-    rows = [(f"often w{i % 50} x{i}" if i % 2 else f"often w{i % 50}",) for i in range(9000)]
-    model, _, _ = op.trained(spark.createDataFrame([(t, str(i)) for i, (t,) in enumerate(rows)], "_text string, _key string").repartition(3))
-    seen, kept = np.zeros(op.LEVELS), np.zeros(op.LEVELS)
-    _, context, both = model.counts(*op.tokens(op.pa.array([t for t, in rows])))
-    np.add.at(seen, model.level(context), context > 0)
-    np.add.at(kept, model.level(context), both > 0)
-    assert np.allclose(model.share, kept / np.maximum(seen, 1), atol=1e-12)
+def exact_model(train, weight=op.WEIGHT):
+    """The score by plain loops: counts up to a factor of two, back-off shares over all training tokens."""
+    uni = collections.Counter(w for t in train for w in words(t))
+    bi = collections.Counter(p for t in train for p in zip([None, *words(t)[:-1]], words(t)))
+    n, v = sum(uni.values()), len(uni)
+    about = lambda c: 1.4 * 2.0 ** math.floor(math.log2(c)) if c else 0.0
+    seen, kept = collections.Counter(), collections.Counter()
+    for t in train:
+        for a, b in zip([None, *words(t)[:-1]], words(t)):
+            seen[math.floor(math.log2(uni[a]))] += 1
+            kept[math.floor(math.log2(uni[a]))] += 1  # every training bigram is known
+
+    def score(text):
+        out = 0.0
+        for a, b in zip([None, *words(text)[:-1]], words(text)):
+            context, both = about(uni[a]), min(about(bi[a, b]), about(uni[a]))
+            p = (about(uni[b]) + 0.1) / (n + 0.1 * (v + 1))
+            if context:
+                level = math.floor(math.log2(uni[a]))
+                p = weight * both / context + (1 - weight * (kept[level] / seen[level] if seen[level] else 0.0)) * p
+            out += math.log10(min(p, 1.0))
+        return out
+
+    return score
+
+
+def some_texts(n, seed):
+    rng = np.random.default_rng(seed)
+    return [" ".join(f"w{x}" for x in rng.zipf(1.3, rng.integers(1, 60)).clip(1, 3000)) for _ in range(n)]
+
+
+def test_score_against_exact_counts(spark, monkeypatch):
+    """With a roomy filter nothing is found that isn't there, so scores are those of the exact counts, in one pass or in many."""
+    monkeypatch.setattr(op, "BITS", 64)
+    texts = some_texts(400, 1)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("_held", F.col("doc_id") % 10 == 0).repartition(3)
+    score = exact_model([t for i, t in enumerate(texts) if i % 10])
+    for pass_bytes in (None, 1500):
+        got = op.scored(docs, text="text", pass_bytes=pass_bytes).collect()
+        assert len(got) == 400
+        for r in got:
+            assert abs(r.score - score(texts[r.doc_id])) < 1e-6, r.doc_id
+
+
+def test_the_real_filter_errs_little(spark):
+    texts = some_texts(600, 2)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("_held", F.col("doc_id") % 10 == 0)
+    score = exact_model([t for i, t in enumerate(texts) if i % 10])
+    got = op.scored(docs, text="text").collect()
+    off = [abs(r.score - score(texts[r.doc_id])) / r.n_tokens for r in got]
+    assert np.mean(off) < 0.05 and max(off) < 0.5
+
+
+def test_passes_over_groups_are_the_whole_filter(spark):
+    merged, parts, *_ = op.trained(spark.createDataFrame([(t,) for t in some_texts(200, 3)], "_text string").repartition(2))
+    (whole,) = op.filters(merged, parts)
+    groups = list(op.filters(merged, parts, 2 * whole.stride))
+    assert len(groups) == parts // 2 and all(len(g.data) <= 2 * whole.stride for g in groups)
+    h = np.random.default_rng(1).integers(0, 2**63, 5000, dtype=np.uint64) * np.uint64(2)
+    h = np.concatenate([h, op.tokens(op.pa.array(some_texts(50, 3)))[0]])
+    assert (np.max([g.level(h) for g in groups], axis=0) == whole.level(h)).all() and whole.level(h).max() > 3
+
+
+def test_merging_as_blocks_come(spark, monkeypatch):
+    """A part that collapses its blocks again and again has the counts of one that does so once."""
+    df = spark.createDataFrame([(t,) for t in some_texts(300, 4)], "_text string").repartition(6)
+    monkeypatch.setattr(op, "FLUSH_TOKENS", 100)
+    rows = {(r.n, r.part): op.unpack(bytes(r.block)) for r in op.counted(df, 16).collect()}
+    want = collections.Counter(w for t in some_texts(300, 4) for w in words(t))
+    got = collections.Counter()
+    for (n, _), (h, c) in rows.items():
+        assert (h[1:] > h[:-1]).all()
+        if n == 1:
+            got.update(c.tolist())
+    assert got == collections.Counter(want.values())
 
 
 def test_what_occurs_once_counts(spark):
@@ -83,8 +150,9 @@ def test_what_occurs_once_counts(spark):
 def test_the_filter_grows_with_the_counts(spark):
     size = []
     for n in (2000, 20000):
-        model, _, _ = op.trained(spark.createDataFrame([(f"a{i} b{i}", str(i)) for i in range(n)], "_text string, _key string"))
-        one, _, both = model.counts(*op.tokens(op.pa.array([f"a{i} b{i}" for i in range(0, n, 7)])))
-        assert (one > 0).all() and (both > 0).all()
-        size.append(len(model.grams.data))
+        merged, parts, *_ = op.trained(spark.createDataFrame([(f"a{i} b{i}",) for i in range(n)], "_text string"))
+        (grams,) = op.filters(merged, parts)
+        uni, bi = grams.levels(*op.tokens(op.pa.array([f"a{i} b{i}" for i in range(0, n, 7)])))
+        assert (uni > 0).all() and (bi > 0).all()
+        size.append(len(grams.data))
     assert size[1] > 5 * size[0]
