@@ -2,7 +2,8 @@
 
 Both steps vote with pairwise linear support vector machines over hashed byte n-grams of the whole text. Families are those of public
 linguistics (FAMILIES); a language that isn't listed is a family of its own. The machines learn from a sample of labelled rows: of each
-language at most about SAMPLE, of the MOST_LANGUAGES most frequent ones; the bound holds for the fit alone, and every row is predicted.
+language about SAMPLE at most, fewer (but FEWEST) where all languages together would have more than ALL. Every language is learned; the
+bounds hold for the fit alone, and every row is predicted.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; rows without lang teach nothing; with one language only, that is
 predicted; without any, ``und``; a null doc_id counts as the id with the empty text; equal rows get equal results; an empty table gives an empty
@@ -24,7 +25,7 @@ from skyloom.llm.hashed import DIMENSIONS, dense, fitted, scores, sparse, vector
 from skyloom.llm.textops import slices
 from skyloom.shipping import ship
 
-SAMPLE, MOST_LANGUAGES, AT_ONCE = 400, 100, 32
+SAMPLE, FEWEST, ALL, AT_ONCE = 400, 40, 40_000, 32
 _BY_FAMILY = {
     "germanic": "en de nl sv da no nb nn is af fy lb yi",
     "romance": "fr es it pt ro ca gl oc la",
@@ -87,6 +88,8 @@ class LanguageModel:
         every = [self.families, *self.within]
         self.weights = np.concatenate([v.weights for v in every], 1).astype(np.float32)
         self.biases = np.concatenate([v.biases for v in every])
+        for v in every:
+            del v.weights, v.biases  # what is broadcast has each weight once
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         n = len(column)
@@ -109,13 +112,12 @@ class LanguageModel:
 def train(labelled: DataFrame) -> LanguageModel:
     """A model from (text, lang, key) rows; key spreads the sample."""
     rows = labelled.filter("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not counts:
         return LanguageModel(np.zeros((0, DIMENSIONS), np.float32), [])
-    share = F.lit(0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, int(min(1.0, SAMPLE / n) * (1 << 30))).otherwise(share)
-    some = rows.filter(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) < share).select("text", "lang")
+    each = max(FEWEST, min(SAMPLE, ALL // len(counts)))
+    shares = rows.sparkSession.createDataFrame([(lang, int(min(1.0, each / n) * (1 << 30))) for lang, n in counts.items()], "lang string, share long")
+    some = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("key", F.lit(4)), F.lit(1 << 30)) < F.col("share")).select("text", "lang")  # a row a language
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -124,7 +126,7 @@ def train(labelled: DataFrame) -> LanguageModel:
                     part = batch.slice(lo, AT_ONCE)
                     yield pa.RecordBatch.from_arrays([part.column(1), pa.array([sparse(x) for x in vectors(part.column(0))], pa.binary())], names=["lang", "x"])
 
-    got = some.mapInArrow(look, "lang string, x binary").limit(2 * SAMPLE * len(counts)).collect()  # bounded by the sample
+    got = some.mapInArrow(look, "lang string, x binary").limit(2 * each * len(counts)).collect()  # bounded by the sample
     x = np.empty((len(got), DIMENSIONS), np.float32)
     for i, r in enumerate(got):
         x[i] = dense(bytes(r.x), DIMENSIONS)

@@ -1,11 +1,13 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A written table cuts lineage and survives lost executors: a later stage reads files, not shuffle blocks of a machine that is gone.
-The folder comes from ``spark.checkpoint.dir``; only where a session has none (tests) a default is set.
+The folder comes from ``spark.checkpoint.dir``; only where a local session has none (tests) a default is set. On a cluster without it the
+executors' own disks would be no shared folder, so that raises.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +19,8 @@ def folder(spark: SparkSession, kind: str) -> str:
     """A fresh path below the shared folder of this session."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = _DEFAULT
         spark.sparkContext.setCheckpointDir(base)
     path = f"{base.rstrip('/')}/skyloom-{spark.sparkContext.applicationId}/{kind}-{uuid.uuid4().hex}"

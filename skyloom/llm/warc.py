@@ -7,7 +7,7 @@ have written and which writes to any store; its line separator here is an empty
 Duplicates are found by a shuffle of digests alone (min by digest, so a payload that a third of all rows share is one partial row a task).
 
 Defined cases: null html is an empty payload; a null url gives a record without target; a null page_id is never the original unless all its
-copies are null, then each is a response; rows that repeat the smallest page_id are each a response; an empty table gives no records; only
+copies are null, then each is a response; ids that are strings are percent-encoded in headers; rows that repeat the smallest page_id are each a response; an empty table gives no records; only
 the id, url and html columns are read, so that other names can't clash.
 """
 
@@ -18,6 +18,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import zstandard
@@ -41,6 +42,11 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _plain(page) -> str:
+    """An id as a header field has it: control characters, spaces and % of a string are escaped."""
+    return quote(page, safe="!\"#$&'()*+,/:;<=>?@[\\]^`{|}~") if isinstance(page, str) else str(page)
+
+
 def _urn(page) -> str:
     return f"<urn:uuid:{uuid.uuid5(_SPACE, str(page))}>"
 
@@ -52,9 +58,9 @@ def record(page, url: str | None, payload: bytes, refers_to, date: str = DATE) -
     if url is not None:
         head.append("WARC-Target-URI: " + "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url))
     if page is not None:
-        head.append(f"X-Page-ID: {page}")
+        head.append(f"X-Page-ID: {_plain(page)}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Refers-To-Page-ID: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_urn(refers_to)}", f"X-Refers-To-Page-ID: {_plain(refers_to)}"]
     head += [f"WARC-Payload-Digest: sha1:{digest(payload)}", f"X-Payload-Length: {len(payload)}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -181,7 +187,7 @@ def read(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
     kind = pa.int64() if number else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = (lambda x: None if x is None else int(x)) if number else (lambda x: x)
+        own = (lambda x: None if x is None else int(x)) if number else (lambda x: None if x is None else unquote(x))
         for batch in batches:
             for blob in batch.column(0):
                 rows = []

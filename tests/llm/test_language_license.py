@@ -23,6 +23,16 @@ def test_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """Many languages get fewer rows each, none is left out; the weights are broadcast once."""
+    monkeypatch.setattr(language_id, "ALL", 150)
+    docs = sample(spark).withColumn("key", F.col("doc_id").cast("string"))
+    model = language_id.train(docs.select("text", "lang", "key"))
+    assert model.langs == sorted(SYLLABLES) and not hasattr(model.families, "weights")
+    got = language_id.identified(docs, model, carry=("lang",)).collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
+
+
 def test_odd_languages(spark, odd, empty):
     docs = odd.withColumn("key", F.lit("k"))
     model = language_id.train(docs.select("text", "lang", "key"))
