@@ -83,13 +83,13 @@ class Words:
     def __init__(self, column: pa.Array, lut: np.ndarray):
         data, offsets = raw(column)
         self.data, self.offsets = data, offsets
-        low = lut[data]
-        word = low != 0
+        word = (lut != 0)[data]
         begin = word.copy()
         begin[1:] &= ~word[:-1]
         inner = offsets[:-1][offsets[:-1] < len(data)]
         begin[inner] = word[inner]
         self.starts = starts = np.flatnonzero(begin)
+        del begin
         self.first = np.searchsorted(starts, offsets)
         if not len(starts):
             self.ends = starts
@@ -101,14 +101,33 @@ class Words:
         cut = cut[(cut > 0) & (cut <= len(data))] - 1
         last[cut] = word[cut]
         self.ends = np.flatnonzero(last) + 1
-        length = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data), dtype=np.int64)
-        place[starts[0] :] -= np.repeat(starts, length)
-        place[: starts[0]] = 0
-        value = _BYTE[low]
-        value *= _powers(int(place.max()) + 1)[place]
-        value[~word] = 0
-        self.hash = mix(np.add.reduceat(value, starts) + (self.ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        del last, word
+        self.hash = np.empty(len(starts), np.uint64)
+        a = 0
+        while a < len(starts):  # runs of words of about SLICE_BYTES, so that a very long text needs no more arrays than a slice
+            b = max(a + 1, int(np.searchsorted(self.ends, starts[a] + 2 * SLICE_BYTES, "right")))
+            self._fingerprints(lut, a, b)
+            a = b
+
+    def _fingerprints(self, lut: np.ndarray, a: int, b: int) -> None:
+        lo, hi = int(self.starts[a]), int(self.ends[b - 1])
+        starts, size = self.starts[a:b] - lo, self.ends[a:b] - self.starts[a:b]
+        total = np.zeros(b - a, np.uint64)
+        if hi - lo > 2 * SLICE_BYTES:  # one word, longer than a slice
+            value = 0
+            for at in range(lo, hi, SLICE_BYTES):
+                part = lut[self.data[at : min(hi, at + SLICE_BYTES)]]
+                value += int((_BYTE[part] * _powers(len(part))[: len(part)]).sum()) * pow(int(_P), at - lo, 1 << 64)
+            total[0] = value % (1 << 64)
+        else:
+            low = lut[self.data[lo:hi]]
+            place = np.arange(hi - lo, dtype=np.int64)
+            place -= np.repeat(starts, np.diff(np.append(starts, hi - lo)))
+            value = _BYTE[low]
+            value *= _powers(int(place.max()) + 1)[place]
+            value[low == 0] = 0
+            total = np.add.reduceat(value, starts)
+        self.hash[a:b] = mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
