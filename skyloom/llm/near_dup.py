@@ -3,7 +3,7 @@
 A text's set holds its distinct five-word shingles. SIDE elements on each of two sides, an element being WIDTH minhashes, make SIDE * SIDE
 tables: a table's key joins one element of the first side with one of the second, so 2 * SIDE * WIDTH minhashes serve where plain banding
 needs SIDE * SIDE * 2 * WIDTH. Two texts meet if they share an element on both sides: at a similarity s with a chance of
-(1 - (1 - s**WIDTH)**SIDE)**2, 0.9999 at 0.85. The product is taken only of elements that two different sets share, so a text without
+(1 - (1 - s**WIDTH)**SIDE)**2, 0.9999 at 0.85 and 0.9994 at 0.8. The product is taken only of elements that two different sets share, so a text without
 a partner costs 2 * SIDE rows and no table key.
 
 Equal sets are one class from the start (min and max of a group's fingerprints tell whether it holds two). Links between classes:
@@ -35,7 +35,8 @@ from skyloom.llm.scratch import materialize
 from skyloom.llm.textops import Words, mix, slices
 from skyloom.shipping import ship
 
-WORDS, PERCENT = 5, 85
+#: Words of a shingle, and from which similarity in percent texts are near duplicates; the contract of the query says 85.
+WORDS, PERCENT, QUERY_PERCENT = 5, 80, 85
 SIDE, WIDTH, ROUNDS, FIRST = 8, 2, 3, 3
 #: A class is hot from HOT rows on, and from a MOST_HOT-th of all rows.
 HOT, MOST_HOT = 1000, 10_000
@@ -129,12 +130,12 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def representatives(keys: DataFrame, turn: int) -> DataFrame:
+def representatives(keys: DataFrame, turn: int, percent: int = PERCENT) -> DataFrame:
     """Pairs of each member (key, print, n, label) with its bucket's first and last one, in the order of this turn, across labels and only if
     their sizes allow the similarity."""
     me = F.struct(F.xxhash64("print", F.lit(turn)).alias("o"), "print", "label", "n")
     ends = keys.groupBy("key").agg(F.min(me).alias("lo"), F.max(me).alias("hi"), F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key", F.array("lo", "hi").alias("ends"))
-    sized = lambda x: 100 * F.least(x["n"], F.col("n")) >= PERCENT * F.greatest(x["n"], F.col("n"))
+    sized = lambda x: 100 * F.least(x["n"], F.col("n")) >= percent * F.greatest(x["n"], F.col("n"))
     met = keys.join(ends, "key").select("print", F.explode(F.filter("ends", lambda x: (x["label"] != F.col("label")) & sized(x))).alias("x"))
     return _bounded(met.select(F.col("print").alias("a"), F.col("x.print").alias("b")))
 
@@ -172,12 +173,12 @@ def sets_of(docs: DataFrame, wanted: DataFrame, text: str, doc_id: str) -> DataF
     return found.unionAll(others.join(lacking, ["raw", "second"]).select("print", "n", "s"))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough, by their full sets."""
     one = sets.select(F.col("print").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa"))
     two = sets.select(F.col("print").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb"))
     both = pairs.join(one, "a").join(two, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")).cast("long"))
-    return both.filter(f"100 * both >= {PERCENT} * (na + nb - both)").select("a", "b").distinct()
+    return both.filter(f"100 * both >= {percent} * (na + nb - both)").select("a", "b").distinct()
 
 
 def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -186,7 +187,7 @@ def _labelled(keys: DataFrame, labels: DataFrame | None) -> DataFrame:
     return keys.join(labels.withColumnRenamed("node", "print"), "print", "left").select("key", "print", "n", F.coalesce("label", "print").alias("label"))
 
 
-def across(members: DataFrame, sets: DataFrame) -> DataFrame:
+def across(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b, shared) with different labels that can be similar enough; members: (print, label).
 
     Shingles are ordered by how few sets hold them. The first one that a similar pair shares leaves enough room in both sets for the overlap
@@ -195,14 +196,14 @@ def across(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.join(members, "print").select("print", "label", "n", F.explode("s").alias("h"))
     often = own.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
     first = own.join(often, "h").groupBy("print", "label", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
-    rare = first.select("print", "label", "n", F.posexplode(F.expr(f"slice(hs, 1, int(n - ({PERCENT} * n + 99) div 100 + 1))")).alias("at", "x"))
+    rare = first.select("print", "label", "n", F.posexplode(F.expr(f"slice(hs, 1, int(n - ({percent} * n + 99) div 100 + 1))")).alias("at", "x"))
     rare = materialize(rare.select("print", "label", "n", "at", F.col("x.h").alias("h")), "prefix")
     heads = rare.groupBy("h", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("h").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     held = rare.join(heads.select("h", F.col("m.label").alias("major")), "h")
-    two = 100 + PERCENT  # a pair of sizes x and y needs an overlap of PERCENT * (x + y) / (100 + PERCENT)
-    need = f"({PERCENT} * (x.n + y.n) + {two - 1}) div {two}"
-    fit = f"x.label != y.label and 100 * x.n >= {PERCENT} * y.n and (x.n < y.n or (x.n = y.n and x.print < y.print)) and x.at + {need} <= x.n and y.at + {need} <= y.n"
-    small = held.filter(f"at + ({2 * PERCENT} * n + {two - 1}) div {two} <= n")
+    two = 100 + percent  # a pair of sizes x and y needs an overlap of percent * (x + y) / (100 + percent)
+    need = f"({percent} * (x.n + y.n) + {two - 1}) div {two}"
+    fit = f"x.label != y.label and 100 * x.n >= {percent} * y.n and (x.n < y.n or (x.n = y.n and x.print < y.print)) and x.at + {need} <= x.n and y.at + {need} <= y.n"
+    small = held.filter(f"at + ({2 * percent} * n + {two - 1}) div {two} <= n")
     # pairs of two texts of a shingle's most frequent component don't occur: one side is of another one
     met = [
         left.alias("x").join(right.alias("y"), F.expr(f"x.h = y.h and {fit}")).select(F.col("x.print").alias("a"), F.col("y.print").alias("b"))
@@ -218,7 +219,7 @@ def _ranked(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("ra", rank("a")).withColumn("rb", rank("b")).select("a", "b", (F.least("ra", "rb") <= FIRST).alias("first"))
 
 
-def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of ``docs``."""
     signed = materialize(signatures(docs, text, doc_id), "signatures")
     classes = _classes(signed)
@@ -232,19 +233,19 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     sets = materialize(sets_of(docs, wanted, text, doc_id), "sets")
     links, labels = None, None
     for turn in range(ROUNDS):
-        found = confirmed(representatives(_labelled(keys, labels), turn), sets)
+        found = confirmed(representatives(_labelled(keys, labels), turn, percent), sets, percent)
         links = materialize(found if links is None else links.union(found), "confirmed")
         labels = components(links)
     open_ = _labelled(keys, labels)
     mixed = open_.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 != l1").select("key")
     members = open_.join(mixed, "key").select("print", "label").distinct()
-    left = materialize(_ranked(across(members, sets)), "candidates")
+    left = materialize(_ranked(across(members, sets, percent)), "candidates")
     # the most promising pairs join most components, so that of the others few are still across two
     for part in (left.filter("first"), left.filter("not first")):
         for side in ("a", "b"):
             part = part.join(labels.select(F.col("node").alias(side), F.col("label").alias(f"l{side}")), side, "left")
         part = part.filter("coalesce(la, a) != coalesce(lb, b)").select("a", "b")
-        found = materialize(confirmed(part, sets), "confirmed")
+        found = materialize(confirmed(part, sets, percent), "confirmed")
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
@@ -266,17 +267,17 @@ def _classes(signed: DataFrame) -> DataFrame:
     return materialize(own.agg(F.min("raw").alias("raw"), F.min("second").alias("second"), F.max("second").alias("other"), F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
 
 
-def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", percent: int = PERCENT) -> DataFrame:
     """``docs`` with one document of each component."""
     names = docs.columns
     renamed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     key = f"c{names.index(doc_id)}"
-    gone = find(docs, text, doc_id).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+    gone = find(docs, text, doc_id, percent).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
     return renamed.join(gone, key, "left_anti").select(*(F.col(f"c{i}").alias(n) for i, n in enumerate(names)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"), percent=QUERY_PERCENT)
 
 
 SQL = rf"""
@@ -284,7 +285,7 @@ with recursive d as materialized (select doc_id, list_filter(regexp_split_to_arr
 s as materialized (select distinct doc_id, array_to_string(w[i : i + {WORDS - 1}], ' ') as s from (select doc_id, w, unnest(range(1, greatest(len(w) - {WORDS - 1}, 1) + 1)) as i from d where len(w) > 0)),
 n as materialized (select doc_id, count(*) as n from s group by doc_id),
 l as materialized (select x.a, x.b from (select p.doc_id as a, q.doc_id as b, count(*) as k from s p join s q on p.s = q.s and p.doc_id <> q.doc_id group by all) x
-  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= {PERCENT} * (na.n + nb.n - k)),
+  join n na on na.doc_id = a join n nb on nb.doc_id = b where 100 * k >= {QUERY_PERCENT} * (na.n + nb.n - k)),
 r as (select doc_id as v, doc_id as c from d union select l.b, r.c from r join l on r.v = l.a),
 c as (select v, min(c) as c from r group by v)
 select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.c as component_id, d.doc_id = c.c as kept from d join c on c.v = d.doc_id left join n on n.doc_id = d.doc_id"""
