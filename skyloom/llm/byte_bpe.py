@@ -34,7 +34,7 @@ from skyloom.shipping import ship
 #: Up to this many bytes a window's merges are looked for in a list, beyond it in a heap.
 SHORT = 64
 #: Entries of a worker's caches, the longest match and the longest node in bytes that are kept in them.
-CACHE, CACHED_CHARS, CACHED_NODE = 300_000, 48, 8
+CACHE, NODES, PAIRS, CACHED_CHARS, CACHED_NODE = 200_000, 120_000, 200_000, 48, 6
 #: How many neighbours one step of decoding concatenates.
 FAN = 16
 #: Characters from which a text's matches are taken in portions.
@@ -48,7 +48,7 @@ class Bpe:
     def __init__(self, blob: bytes):
         self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in blob.splitlines() if line.strip())}
         self.bytes = {i: b for b, i in self.rank.items()}
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
         self.singles = {b: [i] for b, i in self.rank.items() if len(b) == 1}
         self.nodes = dict(self.singles)
 
@@ -106,10 +106,11 @@ class Bpe:
 
     def stable(self, a: int, b: int) -> bool:
         """Whether the neighbours a and b stay apart; with it, whatever stands beyond them does not matter."""
-        if (got := self.known.get((a, b))) is None:
-            if len(self.known) >= CACHE:
+        pair = a << 32 | b
+        if (got := self.known.get(pair)) is None:
+            if len(self.known) >= PAIRS:
                 self.known.clear()
-            got = self.known[a, b] = self.window(self.bytes[a] + self.bytes[b]) == [a, b]
+            got = self.known[pair] = self.window(self.bytes[a] + self.bytes[b]) == [a, b]
         return got
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -129,7 +130,7 @@ class Bpe:
             half = len(piece) // 2
             got = self.join(self.tree(piece[:half]), self.tree(piece[half:]))
             if len(piece) <= CACHED_NODE:
-                if len(self.nodes) >= CACHE:
+                if len(self.nodes) >= NODES:
                     self.nodes = dict(self.singles)
                 self.nodes[piece] = got
         return got
