@@ -37,6 +37,8 @@ THEMES = (("short", "odd_words"), ("symbols", "symbol_words", "bare_words", "no_
 KIND, WITHIN, BEYOND, ON_GOOD, PSEUDO = 0.025, 0.6, 0.05, 0.01, 20.0
 BROKEN = 1.5
 BUCKETS = 12
+#: Bytes of text in a slice; a byte takes some 35 bytes of arrays.
+SLICE = 1 << 20
 #: What each of the thousands of n-gram shares weighs against a bucket of a measure, so that they don't drown these.
 GRAM_GAIN = 0.2
 _GAIN = np.concatenate([np.full(SHORT, GRAM_GAIN), np.ones(len(LABELLERS) * BUCKETS)])
@@ -197,7 +199,7 @@ def learned(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ()) ->
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 yield pa.RecordBatch.from_arrays([pa.array(pattern(votes(measures(batch.column(0))))), batch.column(1)], names=["p", "key"])
 
     looked = materialize(few.mapInArrow(look, "p long, key long").groupBy("p", "key").agg(F.count(F.lit(1)).alias("c")), "patterns")
@@ -252,7 +254,7 @@ def judged(docs: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, scorer = sent.value
         for whole in batches:
-            for batch in slices(whole, "_text"):
+            for batch in slices(whole, "_text", SLICE):
                 m = measures(batch.column(k))
                 v = votes(m)
                 score = scorer.score(batch.column(k), m)
