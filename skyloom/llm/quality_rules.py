@@ -37,9 +37,8 @@ _BARE_WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{M}\p{N}]++(?![^\x20\x
 
 
 def _halves(a: Column, step: int) -> Column:
-    """Hashes of runs twice as long from hashes of runs of ``step`` words."""
-    n = F.greatest(F.size(a) - step, F.lit(0))
-    return F.zip_with(F.slice(a, 1, n), F.slice(a, step + 1, n), lambda x, y: F.xxhash64(x, y))
+    """Hashes of runs twice as long from hashes of runs of ``step`` words; the last ones are shorter, and so unlike all others."""
+    return F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), lambda x, y: F.xxhash64(x, y))
 
 
 def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> DataFrame:
@@ -54,8 +53,9 @@ def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> Data
     df = df.withColumn(p + "l", F.expr(rf"filter(split({p}t, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
     df = df.withColumn(p + "h", _halves(F.expr(f"transform({p}w, w -> xxhash64(w))"), 1))
     df = df.withColumn(p + "a", F.size(p + "h") - F.size(F.array_distinct(p + "h")))
-    for step in (2, 4):
-        df = df.withColumn(p + "h", _halves(F.col(p + "h"), step))
+    # a window of eight words that stands twice repeats seven pairs and five runs of four, so most texts need no longer runs
+    df = df.withColumn(p + "h", F.when(F.col(p + "a") >= 7, _halves(F.col(p + "h"), 2)).otherwise(F.array().cast("array<bigint>")))
+    df = df.withColumn(p + "h", F.when(F.size(p + "h") - F.size(F.array_distinct(p + "h")) >= 5, _halves(F.col(p + "h"), 4)).otherwise(F.array().cast("array<bigint>")))
     df = df.withColumn(p + "d", F.size(p + "h") > F.size(F.array_distinct(p + "h")))
     s = f"sort_array(transform({p}h, (h, i) -> struct(h, i)))"
     df = df.withColumn(p + "s", F.expr(f"case when {p}d then {s} end"))
@@ -63,23 +63,23 @@ def with_features(docs: DataFrame, text: str = "text", into: str = "_q") -> Data
     again = again.replace(f"{p}s[k - 1]", f"{p}s[greatest(k - 1, 0)]")
     df = df.withColumn(p + "p", F.expr(f"case when {p}d then array_sort(transform(filter(sequence(0, size({p}s) - 1), k -> {again}), k -> {p}s[k].i)) end"))
     repeats = f"aggregate({p}p, named_struct('last', -{WINDOW}, 'n', 0L), (a, x) -> named_struct('last', x, 'n', a.n + least({WINDOW}, x - a.last)), a -> a.n)"
-    without = lambda chars: F.length(p + "t") - F.length(F.translate(p + "t", chars, ""))
+    without = lambda pattern: F.length(p + "t") - F.length(F.regexp_replace(p + "t", pattern, ""))
     df = df.withColumn(
         into,
         F.struct(
             F.size(p + "w").cast("long").alias("n_words"),
-            F.length(F.translate(p + "t", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-            without("#*$%&|<>").cast("long").alias("n_symbols"),
+            F.length(F.array_join(p + "w", "")).cast("long").alias("word_chars"),
+            without("[#*$%&|<>]+").cast("long").alias("n_symbols"),
             F.size(p + "l").cast("long").alias("n_lines"),
             (F.size(p + "l") - F.size(F.array_distinct(p + "l"))).cast("long").alias("n_dup_lines"),
             F.coalesce(F.expr(repeats), F.lit(0)).cast("long").alias("n_repeat_words"),
             F.col(p + "a").cast("long").alias("n_pairs_again"),
             F.regexp_count(p + "t", F.lit(_SYMBOL_WORD)).cast("long").alias("n_symbol_words"),
             F.regexp_count(p + "t", F.lit(_BARE_WORD)).cast("long").alias("n_bare_words"),
-            (F.length(p + "t") - F.length(F.regexp_replace(p + "t", r"[\p{L}\p{M}\p{N}]+", ""))).cast("long").alias("n_letters"),
+            without(r"[\p{L}\p{M}\p{N}]+").cast("long").alias("n_letters"),
             F.expr(f"case when size({p}w) > 1 then size(filter({p}w, (w, i) -> w = {p}w[greatest(i - 1, 0)])) - 1 else 0 end").cast("long").alias("n_adjacent"),
-            without(_CAPITALS).cast("long").alias("n_capitals"),
-            without("!").cast("long").alias("n_exclaims"),
+            without("[A-Z]+").cast("long").alias("n_capitals"),
+            (F.length(p + "t") - F.length(F.replace(F.col(p + "t"), F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
         ),
     )
     return df.drop(*(p + x for x in "twlhadsp"))
