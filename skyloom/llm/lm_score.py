@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm.scratch import materialize
+from skyloom.llm.scratch import materialize, tidy
 from skyloom.llm.textops import Words, mix, raw, segment_sum, slices
 from skyloom.shipping import ship
 
@@ -389,13 +389,14 @@ def scored(docs: DataFrame, held_out: str = "_held", text: str = "_text", carry:
     spark = ship(docs.sparkSession)
     few = docs.select(*(f"`{c}`" for c in carry), docs[f"`{held_out}`"].alias("_held"), F.coalesce(docs[f"`{text}`"], F.lit("")).alias("_text"))
     merged, parts, n, v, head, least = trained(few.filter(~F.col("_held")).select("_text"))
+    tidy(spark)  # the blocks' shuffle is larger than the merged counts
     scale = float(n + 0.1 * (v + 1))
     table, end = None, 0
     for group in filters(merged, parts, pass_bytes):
         end = max(end, int(group.level(np.array([END]))[0]))
         last = group.hi == parts
         table = _looked(few, len(carry), group, head, scale) if table is None else _probed(table, group)
-        table = materialize(table.drop("_text") if last else table, "scored")
+        table = materialize(table.drop("_text") if last else table, "scored", "zstd")
     model = Model(n, v, end)
     _fit(model, table)
     sent = spark.sparkContext.broadcast(model)

@@ -7,6 +7,7 @@ executors' own disks would be no shared folder, so that raises.
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
 
@@ -35,14 +36,20 @@ def _made(spark: SparkSession) -> list[str]:
     return sc._skyloom_scratch
 
 
-def materialize(df: DataFrame, kind: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back."""
+def materialize(df: DataFrame, kind: str = "table", compression: str = "snappy") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back; zstd for large tables of little entropy."""
     spark = df.sparkSession
     path = folder(spark, kind)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let the driver collect its garbage, after which Spark deletes shuffle files that no plan needs any more."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch folder that this session has made; their DataFrames can't be read afterwards."""
     jvm = spark._jvm
