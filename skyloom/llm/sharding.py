@@ -31,7 +31,7 @@ from skyloom.llm.scratch import folder, materialize
 
 SHARDS, BLOCKS = 40, 1 << 16
 #: Bytes of moved text in a task of the shuffle, and the most tasks that it has (tasks grow beyond that).
-PIECE_BYTES, MOST_PIECES = 32 << 20, 1 << 15
+PIECE_BYTES, MOST_PIECES = 8 << 20, 1 << 15
 EXTRA = 16
 #: The old layout that the query writes: so many shards of uneven size, of so many pieces of the table's files at least.
 OLD, OLD_PIECES = 32, 256
