@@ -91,7 +91,7 @@ def fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, loss: str, ridge: f
     p = weight / weight.sum()
     v = np.random.default_rng(1).normal(size=x.shape[1]).astype(np.float32)
     for _ in range(12):
-        v = x.T @ (p * (x @ v))
+        v = x.T @ (p * (x @ v)).astype(np.float32)  # with doubles, numpy would copy all of x to doubles
         top = float(np.linalg.norm(v))
         v = (v / max(top, 1e-12)).astype(np.float32)
     rate = 1.0 / ((2.0 if loss == "svm" else 0.25) * (top + 1.0) * 1.1 + ridge)

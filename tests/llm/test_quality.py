@@ -1,8 +1,10 @@
 import re
+import tracemalloc
 
 import numpy as np
 
 from skyloom.llm import quality_classifier, quality_rules
+from skyloom.llm.hashed import fitted
 
 
 def base(text):
@@ -187,3 +189,17 @@ def test_lots_of_copies():
     key, copies = np.arange(1, 2001, dtype=np.uint64) * np.uint64(0x12345678912345), np.array([1, 500] * 1000)
     times = quality_classifier.drawn(key, copies, np.full(2000, 0.1))
     assert abs(times[::2].mean() - 0.1) < 0.04 and abs(times[1::2].mean() - 50) < 1 and times[1::2].min() > 15
+
+
+def test_the_fit_keeps_one_copy_of_the_sample():
+    rng = np.random.default_rng(3)
+    for loss, y in (("logistic", rng.random(1500)), ("svm", rng.choice([-1.0, 1.0], 1500))):
+        x = rng.random((1500, 1000), np.float32)
+        wide, weight, size = x.astype(np.float64), rng.random(1500) + 0.5, x.nbytes
+        tracemalloc.start()
+        w, b = fitted(x, y, weight, loss)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < size / 4  # a copy in doubles takes twice the sample
+        w64, b64 = fitted(wide, y, weight, loss)
+        assert np.abs(w - w64).max() < 1e-3 * np.abs(w64).max() and abs(b - b64) < 1e-3 * np.abs(w64).sum()
