@@ -106,6 +106,23 @@ class SkyCleaner:
         scale = rows.agg((F.lit(float(mean_density)) / F.avg("value")).alias("s")).scalar()
         return rows.withColumn("_s", scale).select("pix", (F.col("value") * F.col("_s")).alias("value"))
 
+    def rates_by_row(self, kinds: tuple[str, ...], mean_density: float) -> DataFrame:
+        """The rows with one column of rates() a kind: no join, so rows that share a pixel or an id stay apart."""
+        if unknown := [k for k in kinds if k not in ("data", "uniform", "visibility", "clustered")]:
+            raise ValueError(f"unknown kind {unknown[0]!r}")
+        out, columns = (self.df if self.won is None else self.won), list(self.df.columns)
+        cover, mean = F.col(self.coverage).cast("double"), float(mean_density)
+        stats = self.df.agg(F.struct((F.sum("corrected") / F.count(F.lit(1))).alias("m"), (F.lit(mean) / F.avg(F.col(self.density).cast("double"))).alias("s")).alias("t")).scalar()
+        out = out.withColumn("_t", stats)
+        made = {"data": F.col(self.density).cast("double") * F.col("_t.s"), "uniform": cover * mean}
+        for kind, table in (("visibility", self.table), ("clustered", self.clustered)):
+            if kind in kinds:
+                if table is None:
+                    raise ValueError("compute the densities first")
+                out = out.join(F.broadcast(table.select("neuron", F.col("gnd").alias(f"_{kind}"))), "neuron", "left")  # a row a neuron
+                made[kind] = visibility(contrast(F.col(f"_{kind}"), F.col("_t.m")), F.col(self.coverage)) * mean
+        return out.select(*columns, *(made[k].alias(k) for k in kinds))
+
     def generate(self, kind: str, mean_density: float, seed: int = 0) -> DataFrame:
         """(ra, dec) of a random catalog of that kind."""
         return generate.catalog(generate.number_density(self.rates(kind, mean_density), self.nside, 1.0, seed))
