@@ -11,6 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from skyloom import queries
+from skyloom.operators import pairs
 
 SF = "/root/testdata/sf0.001"
 
@@ -32,3 +33,31 @@ def test_catalog_rates_keep_rows_that_share_a_pixel(spark, tmp_path):
     names = [d[0] for d in rel.description]
     got = plain(df.select(*names).collect())
     assert sum(got.values()) == 80 and got == plain(rel.fetchall())
+
+
+def test_pair_sums_of_whole_blocks_and_many_passes(spark):
+    """Dense points on a curve, so that most blocks are far away; ids that are repeated or missing are no pair with their like."""
+    rng = np.random.default_rng(4)
+    n = 2400
+    lon, lat = np.sort(rng.uniform(0, 25, n)), rng.normal(0, 1e-3, n)
+    w, v, ids = rng.integers(1, 4, n).astype(float), rng.uniform(-1, 9, n), [int(i) for i in range(n)]
+    a, b = np.radians(lon), np.radians(lat)
+    xyz = np.stack([np.cos(b) * np.cos(a), np.cos(b) * np.sin(a), np.sin(b)], 1)
+    i, j = np.triu_indices(n, 1)
+    sep = np.degrees(2 * np.arcsin(np.sqrt(((xyz[i] - xyz[j]) ** 2).sum(1)) / 2)) * 60
+    for some in (ids, [None if k == 5 else 7 if k in (9, n - 9) else k for k in ids]):
+        df = spark.createDataFrame([(k, *map(float, x), float(p), float(q)) for k, x, p, q in zip(some, xyz, w, v, strict=True)], "id long, px double, py double, pz double, w double, k double")
+        one = np.array([k is not None for k in some])
+        name = np.array([-1 if k is None else k for k in some])
+        keep = (sep >= 30) & (sep <= 600) & one[i] & one[j] & (name[i] != name[j])
+        bins = np.floor(np.log(sep[keep] / 30) * (6 / np.log(20))).astype(int)
+        ww = (w[i] * w[j])[keep]
+        for log, f in ((False, sep), (True, np.log(sep))):
+            got = pairs.binned(df, None, 30.0, 600.0, 6, log=log, pass_bytes=600 * pairs.POINT_BYTES).orderBy("bin").collect()
+            assert [r.npairs for r in got] == np.bincount(bins, minlength=6).tolist()
+            assert [r.weight for r in got] == np.bincount(bins, ww, 6).tolist()
+            assert np.allclose([r.kk for r in got], np.bincount(bins, ww * (v[i] * v[j])[keep], 6), rtol=1e-11)
+            assert np.allclose([r.ws for r in got], np.bincount(bins, ww * f[keep], 6), rtol=1e-12)
+    dr = pairs.pair_counts(df, df, 30.0, 600.0, 6).orderBy("bin").collect()  # between catalogs ids don't matter
+    every = (sep >= 30) & (sep <= 600)
+    assert sum(r.npairs for r in dr) == 2 * int(every.sum())
