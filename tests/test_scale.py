@@ -1,7 +1,9 @@
 """Faults that show on larger tables only, on small ones made like them."""
 
+import math
 import math
 import os
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -12,6 +14,7 @@ import pytest
 
 from skyloom import queries
 from skyloom.operators import pairs
+from skyloom.operators.som import Som, distances, nearest
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +64,34 @@ def test_pair_sums_of_whole_blocks_and_many_passes(spark):
     dr = pairs.pair_counts(df, df, 30.0, 600.0, 6).orderBy("bin").collect()  # between catalogs ids don't matter
     every = (sep >= 30) & (sep <= 600)
     assert sum(r.npairs for r in dr) == 2 * int(every.sum())
+
+
+@pytest.mark.parametrize("topology", ["square", "hexagonal"])
+def test_large_maps_need_no_matrix_of_neurons(spark, topology):
+    rng = np.random.default_rng(6)
+    som = Som(7, 10, 3, topology)
+    t, sums = som.topography, rng.normal(size=(70, 4))
+    theta = np.exp(-((t[:, None] - t[None]) ** 2).sum(-1) / (2 * 1.7**2))
+    assert np.allclose(som._spread(sums, 1.7), theta @ sums, rtol=1e-12, atol=1e-12)
+    # more than SMALL_BOOK neurons, with equal ones, rows that are neurons, and rows of NaN
+    book = rng.normal(size=(70, 3)).round(1)
+    book[40], book[63] = book[3], book[3]
+    v = np.concatenate([book, rng.normal(size=(500, 3)), [[math.nan, 0, 0]]])
+    d = distances(v, book)
+    want = np.argsort(d, 1, kind="stable")[:, :2]
+    for k in (1, 2):
+        order, near = nearest(v, book, k)
+        assert (order == want[:, :k]).all() and np.allclose(near, np.take_along_axis(d, order, 1), rtol=1e-14, atol=0)
+    som.weights = book.astype(np.float32)
+    rows = spark.createDataFrame([(x.tolist(),) for x in v], "v array<double>")
+    far = ((t[:, None] - t[None]) ** 2).sum(-1) > (2 if topology == "square" else 1) + 1e-6
+    d = distances(v, som.weights.astype(float))
+    two = np.argsort(d, 1, kind="stable")[:-1, :2]
+    assert np.isclose(som.errors(rows, "v").first().topographic_error, far[two[:, 0], two[:, 1]].mean())
+    # an epoch of 3,600 neurons; a matrix of them has 104 MB
+    large = Som(60, 60, 3, topology).init_rand(1)
+    tracemalloc.start()
+    large._batch_epoch(0, 1, rows, "v", None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 << 20 and np.isfinite(large.weights).all()
